@@ -34,5 +34,5 @@ def r6(c):
 
 def load_all() -> None:
     """Import the query modules (each registers its queries on import)."""
-    from . import (q_augment, q_ids, q_metrics, q_pairs, q_profile,  # noqa: F401
-                   q_quality, q_segment, q_similarity, q_sources)
+    from . import (q_augment, q_clean, q_ids, q_metrics, q_pairs,  # noqa: F401
+                   q_profile, q_quality, q_segment, q_similarity, q_sources)

@@ -90,7 +90,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                            CASE WHEN label >= 9 THEN 'hi' ELSE 'lo' END AS knowledge_source
                     FROM embeddings))"""),
     "event_turns": ((), f"""
-        SELECT conversation_id, turn_id, message, knowledge_source, topic_shift,
+        SELECT conversation_id, turn_id, message, knowledge_source, agent, topic_shift,
                CAST(sum(topic_shift) OVER ({_WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1
                     AS BIGINT) AS sub_conversation_id
         FROM (SELECT *, CASE WHEN lag(turn_id) OVER ({_WIN}) IS NULL THEN 1
@@ -98,8 +98,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                              THEN 1 ELSE 0 END AS topic_shift
               FROM (SELECT user_id AS conversation_id,
                            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn_id,
-                           props AS message, event_type AS knowledge_source
+                           props AS message, event_type AS knowledge_source,
+                           CASE WHEN value < 10 THEN 'low' ELSE 'high' END AS agent
                     FROM events))"""),
+    "blobs": (("turns",), """
+        SELECT conversation_id,
+               string_agg(CASE WHEN turn_id % 2 = 0 THEN 'User 1' ELSE 'User 2' END || ': ' || message,
+                          chr(10) ORDER BY turn_id) AS best_generated_conversation
+        FROM turns GROUP BY conversation_id"""),
     "doc_turns": ((), """
         SELECT conversation_id, CAST(turn_id AS BIGINT) AS turn_id, message
         FROM (SELECT doc_id AS conversation_id, generate_subscripts(parts, 1) - 1 AS turn_id,
