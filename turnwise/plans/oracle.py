@@ -111,6 +111,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT doc_id AS conversation_id, generate_subscripts(parts, 1) - 1 AS turn_id,
                      unnest(parts) AS message
               FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"""),
+    "doc_topic_turns": (("doc_turns",), f"""
+        SELECT conversation_id, turn_id, message, knowledge_source, topic_shift,
+               CAST(sum(topic_shift) OVER ({_WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1
+                    AS BIGINT) AS sub_conversation_id
+        FROM (SELECT *, CASE WHEN lag(turn_id) OVER ({_WIN}) IS NULL THEN 1
+                             WHEN knowledge_source IS DISTINCT FROM lag(knowledge_source) OVER ({_WIN})
+                             THEN 1 ELSE 0 END AS topic_shift
+              FROM (SELECT *, 'p' || CAST(turn_id // 8 AS VARCHAR) AS knowledge_source FROM doc_turns))"""),
     "preds": (("topic_turns",), f"""
         SELECT *, CASE WHEN overlap_prev IS NULL THEN 1 WHEN overlap_prev < 0.03 THEN 1 ELSE 0 END
                   AS pred_shift

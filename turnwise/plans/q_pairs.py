@@ -1 +1,106 @@
-"""placeholder"""
+"""Queries for contrastive pair specifications (J5-J9) and the pair sink.
+
+The oracle counts partners by brute force (a self-join per anchor), which
+checks the linear formulation against the quadratic definition.
+"""
+
+from __future__ import annotations
+
+from ..operators import pairs
+from ..session import scratch_path
+from ..sources import fixtures as fx
+from ..sources import readers, sinks
+from .catalog import register
+from .oracle import sql
+
+R = pairs.RULES
+
+
+def _sel(family: str) -> str:
+    return (f"a.conversation_id, a.sub_conversation_id, a.turn_id, '{family}' AS family, "
+            f"'{R[family]}' AS rule, count(b.turn_id) AS n_pairs")
+
+
+_J5 = f"""
+    SELECT {_sel('coherence_positive')} FROM {{t}} a LEFT JOIN {{t}} b
+      ON a.conversation_id = b.conversation_id AND a.sub_conversation_id = b.sub_conversation_id
+     AND b.turn_id > a.turn_id
+    GROUP BY ALL"""
+
+_SEGRANK = """
+    segrank AS (SELECT conversation_id, sub_conversation_id,
+                       row_number() OVER (PARTITION BY conversation_id ORDER BY min(turn_id)) AS sr
+                FROM {t} GROUP BY conversation_id, sub_conversation_id),
+    ranked AS (SELECT t.*, s.sr FROM {t} t JOIN segrank s USING (conversation_id, sub_conversation_id))"""
+
+_J6 = f"""
+    SELECT {_sel('coherence_negative')} FROM ranked a LEFT JOIN ranked b
+      ON a.conversation_id = b.conversation_id AND b.sr > a.sr
+    GROUP BY ALL"""
+
+_J7 = f"""
+    SELECT {_sel('shift_positive')} FROM {{t}} a LEFT JOIN {{t}} b
+      ON a.conversation_id = b.conversation_id AND a.sub_conversation_id = b.sub_conversation_id
+     AND b.message <> a.message
+    GROUP BY ALL"""
+
+_J8 = f"""
+    SELECT {_sel('shift_negative')} FROM {{t}} a LEFT JOIN {{t}} b
+      ON a.conversation_id = b.conversation_id AND b.turn_id > a.turn_id AND b.topic_shift = 1
+    GROUP BY ALL"""
+
+
+@register("j5_coherence_positive", sql(["topic_turns"], _J5.format(t="topic_turns")))
+def j5_coherence_positive(spark, sf_dir):
+    return pairs.coherence_positive(fx.topic_turns(spark, sf_dir))
+
+
+@register("j6_coherence_negative", sql(["topic_turns"], _J6, _SEGRANK.format(t="topic_turns")))
+def j6_coherence_negative(spark, sf_dir):
+    return pairs.coherence_negative(fx.topic_turns(spark, sf_dir))
+
+
+@register("j7_shift_positive", sql(["doc_topic_turns"], _J7.format(t="doc_topic_turns")))
+def j7_shift_positive(spark, sf_dir):
+    """Document lines in blocks of eight: repeated lines are not paired with each other."""
+    return pairs.shift_positive(fx.doc_topic_turns(spark, sf_dir))
+
+
+@register("j8_shift_negative", sql(["topic_turns"], _J8.format(t="topic_turns")))
+def j8_shift_negative(spark, sf_dir):
+    return pairs.shift_negative(fx.topic_turns(spark, sf_dir))
+
+
+_TOTALS = """
+    SELECT family, label, CAST(sum(n_pairs) AS BIGINT) AS n_pairs, count(*) AS n_anchors FROM (
+      SELECT family, 'positive' AS label, n_pairs FROM ({pos})
+      UNION ALL SELECT family, 'negative', n_pairs FROM ({neg}))
+    GROUP BY family, label"""
+
+
+@register("j9_label_pairs", sql(["event_turns"], _TOTALS.format(
+    pos=_J5.format(t="event_turns"), neg=_J6), _SEGRANK.format(t="event_turns")))
+def j9_label_pairs(spark, sf_dir):
+    """Coherence pairs of the event conversations, labelled and totalled (J5 + J6 + J9)."""
+    return pairs.pair_totals(pairs.coherence_pairs(fx.event_turns(spark, sf_dir)))
+
+
+@register("j9_shift_aware_totals", sql(["doc_topic_turns"], _TOTALS.format(
+    pos=_J7.format(t="doc_topic_turns"), neg=_J8.format(t="doc_topic_turns"))))
+def j9_shift_aware_totals(spark, sf_dir):
+    return pairs.pair_totals(pairs.shift_aware_pairs(fx.doc_topic_turns(spark, sf_dir)))
+
+
+_SPEC_SCHEMA = ("conversation_id bigint, sub_conversation_id bigint, turn_id bigint, family string, "
+                "rule string, n_pairs bigint, label string")
+
+
+@register("s8_save_pairs", sql(["topic_turns"], f"""
+    SELECT *, 'positive' AS label FROM ({_J5.format(t='topic_turns')})
+    UNION ALL SELECT *, 'negative' FROM ({_J6})""", _SEGRANK.format(t="topic_turns")))
+def s8_save_pairs(spark, sf_dir):
+    """Labelled coherence pair specs written as CSV (S8) and read back (S3)."""
+    spec = pairs.coherence_pairs(fx.topic_turns(spark, sf_dir))
+    path = scratch_path(spark, "pairs")
+    sinks.save_pairs(spec, path, "csv")
+    return readers.read_turns_csv(spark, path, _SPEC_SCHEMA)

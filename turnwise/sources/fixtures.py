@@ -105,6 +105,13 @@ def doc_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("turn_id", F.col("turn_id").cast("long"))
 
 
+def doc_topic_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_turns`` in topic blocks of eight lines (W1); repeated lines occur in a block."""
+    d = doc_turns(spark, sf_dir).withColumn(
+        "knowledge_source", F.concat(F.lit("p"), F.floor(F.col("turn_id") / 8).cast("long").cast("string")))
+    return segment_by_key(d, "knowledge_source")
+
+
 def preds(spark: SparkSession, sf_dir: str, threshold: float = 0.03) -> DataFrame:
     """``topic_turns`` with a weak lexical prediction of each shift.
 
