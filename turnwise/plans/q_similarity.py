@@ -1 +1,175 @@
-"""placeholder"""
+"""Queries for text and vector similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import similarity as sim
+from ..sources import fixtures as fx
+from .catalog import r6, register
+from .oracle import cosine, dot, kw_overlap, norm_text, sql, toks, vnorm
+
+_W = "PARTITION BY conversation_id ORDER BY turn_id"
+
+# The stop list used by the keyword-overlap queries (a parameter of
+# the operator; the fixture texts are in English, French, German and Spanish).
+STOPWORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "with", "as", "was",
+             "are", "be", "by", "at", "or", "an", "this", "de", "la", "le", "et", "les", "des", "en",
+             "un", "une", "der", "die", "das", "und", "ein", "zu", "el", "los", "las", "que", "y")
+
+_TFIDF = f"""
+    tok AS (SELECT conversation_id, turn_id, unnest({toks(norm_text('message'))}) AS term FROM topic_turns),
+    tf AS (SELECT conversation_id, turn_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    dfq AS (SELECT conversation_id, term, count(*) AS df FROM tf GROUP BY ALL),
+    nd AS (SELECT conversation_id, count(*) AS n_docs FROM topic_turns GROUP BY 1),
+    w0 AS (SELECT tf.*, tf.tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1.0) AS raw
+           FROM tf JOIN dfq USING (conversation_id, term) JOIN nd USING (conversation_id)),
+    nrm AS (SELECT conversation_id, turn_id, sqrt(sum(raw * raw)) AS l2 FROM w0 GROUP BY ALL),
+    w AS (SELECT conversation_id, turn_id, term, tf,
+                 raw / CASE WHEN l2 > 0 THEN l2 ELSE 1.0 END AS weight
+          FROM w0 JOIN nrm USING (conversation_id, turn_id)),
+    nxt AS (SELECT * FROM (SELECT conversation_id, turn_id, lead(turn_id) OVER ({_W}) AS next_turn_id
+                           FROM topic_turns) WHERE next_turn_id IS NOT NULL),
+    cs AS (SELECT n.conversation_id, n.turn_id, n.next_turn_id,
+                  coalesce(sum(a.weight * b.weight), 0.0) AS similarity
+           FROM nxt n
+           LEFT JOIN w a ON a.conversation_id = n.conversation_id AND a.turn_id = n.turn_id
+           LEFT JOIN w b ON b.conversation_id = n.conversation_id AND b.turn_id = n.next_turn_id
+                        AND b.term = a.term
+           GROUP BY ALL)"""
+
+
+@register("x1_tfidf", sql(["topic_turns"], """
+    SELECT conversation_id, turn_id, term, tf, round(weight, 6) AS weight FROM w""", _TFIDF))
+def x1_tfidf(spark, sf_dir):
+    w = sim.tfidf(fx.topic_turns(spark, sf_dir))
+    return w.select("conversation_id", "turn_id", "term", "tf", r6("weight").alias("weight"))
+
+
+@register("x2_consecutive_tfidf", sql(["topic_turns"], """
+    SELECT conversation_id, turn_id, next_turn_id, round(similarity, 6) AS similarity FROM cs""", _TFIDF))
+def x2_consecutive_tfidf(spark, sf_dir):
+    s = sim.consecutive_tfidf(fx.topic_turns(spark, sf_dir))
+    return s.select("conversation_id", "turn_id", "next_turn_id", r6("similarity").alias("similarity"))
+
+
+@register("x3_shifts_below", sql(["topic_turns"], """
+    SELECT conversation_id, turn_id, round(similarity, 6) AS similarity FROM cs WHERE similarity < 0.1""",
+                                  _TFIDF))
+def x3_shifts_below(spark, sf_dir):
+    s = sim.shifts_below(sim.consecutive_tfidf(fx.topic_turns(spark, sf_dir)), 0.1)
+    return s.select("conversation_id", "turn_id", r6("similarity").alias("similarity"))
+
+
+@register("x4_shift_pairs", sql(["topic_turns"], f"""
+    SELECT t.conversation_id, t.turn_id, t.message AS message_1, t.nm AS message_2
+    FROM (SELECT *, lead(message) OVER ({_W}) AS nm FROM topic_turns) t
+    JOIN cs USING (conversation_id, turn_id) WHERE cs.similarity < 0.1""", _TFIDF))
+def x4_shift_pairs(spark, sf_dir):
+    t = fx.topic_turns(spark, sf_dir)
+    flags = sim.shifts_below(sim.consecutive_tfidf(t), 0.1)
+    return sim.shift_pairs(t, flags)
+
+
+@register("x5_consecutive_cosine", sql(["emb_turns"], f"""
+    SELECT conversation_id, turn_id, round(s, 6) AS similarity,
+           CASE WHEN s < 0.5 THEN 1 ELSE 0 END AS below_05, CASE WHEN s < 0.3 THEN 1 ELSE 0 END AS below_03
+    FROM (SELECT conversation_id, turn_id,
+                 {cosine('embedding', f'lead(embedding) OVER ({_W})')} AS s FROM emb_turns)
+    WHERE s IS NOT NULL"""))
+def x5_consecutive_cosine(spark, sf_dir):
+    c = sim.consecutive_cosine(fx.emb_turns(spark, sf_dir)).filter(F.col("similarity").isNotNull())
+    return c.select("conversation_id", "turn_id", r6("similarity").alias("similarity"),
+                    F.when(F.col("similarity") < 0.5, 1).otherwise(0).alias("below_05"),
+                    F.when(F.col("similarity") < 0.3, 1).otherwise(0).alias("below_03"))
+
+
+@register("x7_keyword_overlap", sql(["topic_turns"], f"""
+    SELECT conversation_id, turn_id, round(ov, 6) AS overlap FROM (
+      SELECT conversation_id, turn_id,
+             CASE WHEN lag(turn_id) OVER ({_W}) IS NULL THEN NULL
+                  ELSE {kw_overlap(f'lag(message) OVER ({_W})', 'message', STOPWORDS)} END AS ov
+      FROM topic_turns)"""))
+def x7_keyword_overlap(spark, sf_dir):
+    d = sim.keyword_overlap_prev(fx.topic_turns(spark, sf_dir), "overlap", STOPWORDS)
+    return d.select("conversation_id", "turn_id", r6("overlap").alias("overlap"))
+
+
+def _emb_msg(spark, sf_dir):
+    e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")
+    t = fx.turns(spark, sf_dir).select("conversation_id", "turn_id", "message")
+    return e.join(t, ["conversation_id", "turn_id"])
+
+
+_EMB_MSG = """
+    em AS (SELECT e.conversation_id, e.turn_id, e.embedding, t.message
+           FROM emb_turns e JOIN turns t USING (conversation_id, turn_id))"""
+
+
+def _x8_sql(mark: str) -> str:
+    scores = f"""
+      SELECT conversation_id, turn_id,
+             CASE WHEN lead(turn_id) OVER ({_W}) IS NULL THEN NULL
+                  ELSE {cosine('embedding', f'lead(embedding) OVER ({_W})')} END AS s,
+             CASE WHEN lead(turn_id) OVER ({_W}) IS NULL THEN NULL
+                  ELSE {kw_overlap('message', f'lead(message) OVER ({_W})', STOPWORDS)} END AS k
+      FROM em"""
+    lab = "CASE WHEN s IS NOT NULL AND s < 0.25 AND k < 0.4 THEN 1 ELSE 0 END"
+    if mark == "before":
+        body = f"SELECT conversation_id, turn_id, {lab} AS weak_shift, round(s, 6) AS similarity, " \
+               f"round(k, 6) AS keyword FROM ({scores})"
+    else:
+        body = f"""SELECT conversation_id, turn_id,
+                   coalesce(lag({lab}) OVER ({_W}), 0) AS weak_shift,
+                   round(lag(s) OVER ({_W}), 6) AS similarity, round(lag(k) OVER ({_W}), 6) AS keyword
+                   FROM ({scores})"""
+    return sql(["emb_turns", "turns"], body, _EMB_MSG)
+
+
+@register("x8_weak_label", _x8_sql("before"))
+def x8_weak_label(spark, sf_dir):
+    """Embedding cosine < 0.25 and keyword overlap < 0.4; label on the first turn of the pair."""
+    d = sim.weak_label(_emb_msg(spark, sf_dir), stopwords=STOPWORDS)
+    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
+                    r6("keyword").alias("keyword"))
+
+
+@register("x8_weak_label_opening", _x8_sql("opening"))
+def x8_weak_label_opening(spark, sf_dir):
+    d = sim.weak_label(_emb_msg(spark, sf_dir), stopwords=STOPWORDS, mark="opening")
+    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
+                    r6("keyword").alias("keyword"))
+
+
+@register("x9_l2_normalize", sql([], f"""
+    SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u0,
+           round(CAST(embedding[64] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u63,
+           round(sqrt(list_sum(list_transform(embedding, lambda z:
+                 (CAST(z AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12)) ** 2))), 6) AS unit_norm
+    FROM embeddings"""))
+def x9_l2_normalize(spark, sf_dir):
+    from ..functions.vectors import norm
+    e = sim.normalized_vectors(fx.table(spark, sf_dir, "embeddings"), "embedding", "unit")
+    return e.select("vec_id", r6(F.col("unit")[0]).alias("u0"), r6(F.col("unit")[63]).alias("u63"),
+                    r6(norm("unit")).alias("unit_norm"))
+
+
+@register("x10_pair_distance", sql(["emb_turns"], f"""
+    SELECT conversation_id, turn_id,
+           round(1.0 - {dot('u', 'nu')}, 6) AS cosine_distance,
+           round(sqrt(list_sum(list_transform(list_zip(embedding, ne),
+                 lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))), 6) AS euclidean_distance
+    FROM (SELECT conversation_id, turn_id, embedding, ne,
+                 list_transform(embedding, lambda z: CAST(z AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12)) AS u,
+                 list_transform(ne, lambda z: CAST(z AS DOUBLE) / greatest({vnorm('ne')}, 1e-12)) AS nu
+          FROM (SELECT *, lead(embedding) OVER ({_W}) AS ne FROM emb_turns))
+    WHERE ne IS NOT NULL"""))
+def x10_pair_distance(spark, sf_dir):
+    from ..plans.scan import with_next
+    e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")
+    d = with_next(e, ["conversation_id"], "turn_id", ["embedding"], prefix="n_") \
+        .filter(F.col("n_embedding").isNotNull())
+    d = sim.distances(d, "embedding", "n_embedding", "cosine", "cosine_distance")
+    d = sim.distances(d, "embedding", "n_embedding", "euclidean", "euclidean_distance")
+    return d.select("conversation_id", "turn_id", r6("cosine_distance").alias("cosine_distance"),
+                    r6("euclidean_distance").alias("euclidean_distance"))
