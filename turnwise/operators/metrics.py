@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.positions import with_position
-from ..plans.scan import BLOCK_ROWS
+from ..plans.scan import block_rows_for
 from .ids import attach_scalar
 from .segment import boundaries, with_turn_position
 
@@ -144,7 +144,7 @@ def window_errors(seq: DataFrame, k: int = 2) -> DataFrame:
             .withColumn("window_diff", F.when(den > 0, F.col("wd_errors") / den))
 
 
-def boundary_mae(seq: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def boundary_mae(seq: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Mean over true boundaries of the distance to the nearest predicted one.
 
     When either side has no boundary the result is the number of boundaries
@@ -153,7 +153,7 @@ def boundary_mae(seq: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     part = _parts(seq)
     b = seq.filter((F.col("tb") == 1) | (F.col("pb") == 1)) \
-           .withColumn("_blk", F.floor(F.col("pos") / block_rows).cast("long"))
+           .withColumn("_blk", F.floor(F.col("pos") / block_rows_for(seq, block_rows)).cast("long"))
     keys = part + ["_blk"]
     pp = F.when(F.col("pb") == 1, F.col("pos"))
     wl = Window.partitionBy(*keys).orderBy("pos")

@@ -21,14 +21,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
+# Session setting that overrides the default block size (tests set it small to
+# exercise the cross-block carries).
+BLOCK_CONF = "turnwise.scan.blockRows"
 
 _BLK = "_tw_blk"
 _FIRST = "_tw_first"
 _LAST = "_tw_last"
 
 
-def _blocked(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+def block_rows_for(df: DataFrame, block_rows: int | None = None) -> int:
+    if block_rows:
+        return int(block_rows)
+    return int(df.sparkSession.conf.get(BLOCK_CONF, str(BLOCK_ROWS)))
+
+
+def _blocked(df: DataFrame, order: str, block_rows: int | None) -> DataFrame:
+    b = block_rows_for(df, block_rows)
+    return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(b)).cast("long"))
 
 
 def _wb(part: Sequence[str]):
@@ -38,14 +48,14 @@ def _wb(part: Sequence[str]):
 
 def with_prev(df: DataFrame, part: Sequence[str], order: str,
               cols: Sequence[str], prefix: str = "prev_",
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
+              block_rows: int | None = None) -> DataFrame:
     """Add ``prefix + c``: the value of ``c`` on the previous row of the group."""
     return _neighbour(df, list(part), order, list(cols), prefix, block_rows, -1)
 
 
 def with_next(df: DataFrame, part: Sequence[str], order: str,
               cols: Sequence[str], prefix: str = "next_",
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
+              block_rows: int | None = None) -> DataFrame:
     """Add ``prefix + c``: the value of ``c`` on the next row of the group."""
     return _neighbour(df, list(part), order, list(cols), prefix, block_rows, 1)
 
@@ -72,7 +82,7 @@ def _neighbour(df, part, order, cols, prefix, block_rows, step):
 
 def with_running_sum(df: DataFrame, part: Sequence[str], order: str,
                      value: Column | str, out: str,
-                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     block_rows: int | None = None) -> DataFrame:
     """Add ``out``: sum of ``value`` over the group's rows up to and including this one."""
     part = list(part)
     keys = part + [_BLK]
@@ -91,6 +101,6 @@ def with_running_sum(df: DataFrame, part: Sequence[str], order: str,
 
 
 def with_row_number(df: DataFrame, part: Sequence[str], order: str, out: str,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """1-based row number in the group (a running count)."""
     return with_running_sum(df, part, order, F.lit(1), out, block_rows)
