@@ -36,13 +36,18 @@ def cross_entropy(df: DataFrame, order: list[str], batch_size: int = 128, l0: st
     return per.agg(F.avg("_m").alias("cross_entropy"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def focal_col(alpha: tuple[float, float] = (0.25, 0.75), gamma: float = 2.0, l0: str = "logit0",
+              l1: str = "logit1", label: str = "label") -> Column:
+    """Per-row focal loss ``alpha[y] * (1 - p_t)**gamma * CE``."""
+    ce = cross_entropy_col(l0, l1, label)
+    a = F.when(F.col(label) == 1, F.lit(alpha[1])).otherwise(F.lit(alpha[0]))
+    return a * F.pow(F.lit(1.0) - F.exp(-ce), F.lit(gamma)) * ce
+
+
 def focal_loss(df: DataFrame, alpha: tuple[float, float] = (0.25, 0.75), gamma: float = 2.0,
                l0: str = "logit0", l1: str = "logit1", label: str = "label") -> DataFrame:
     """M4: mean of ``alpha[y] * (1 - p_t)**gamma * CE`` with ``p_t = exp(-CE)``."""
-    ce = cross_entropy_col(l0, l1, label)
-    a = F.when(F.col(label) == 1, F.lit(alpha[1])).otherwise(F.lit(alpha[0]))
-    per = a * F.pow(F.lit(1.0) - F.exp(-ce), F.lit(gamma)) * ce
-    return df.agg(F.avg(per).alias("focal_loss"))
+    return df.agg(F.avg(focal_col(alpha, gamma, l0, l1, label)).alias("focal_loss"))
 
 
 def contrastive_rows(df: DataFrame, a: str, b: str, label: str = "label", margin: float = 1.5,

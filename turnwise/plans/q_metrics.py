@@ -238,3 +238,15 @@ def m13_classifier_report(spark, sf_dir):
     r = metrics.classification_report(p, "topic_shift", "prediction")
     return r.select("class_name", r6("precision").alias("precision"), r6("recall").alias("recall"),
                     r6("f1_score").alias("f1_score"), "support")
+
+
+@register("st_stream_thresholds", sql(["logits"], """
+    SELECT conversation_id, turn_id, round(1.0 / (1.0 + exp(logit0 - logit1)), 6) AS p1,
+           CASE WHEN 1.0 / (1.0 + exp(logit0 - logit1)) > 0.63 THEN 1 ELSE 0 END AS pred,
+           CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS pred_argmax
+    FROM logits"""))
+def st_stream_thresholds(spark, sf_dir):
+    """M1/M2 on a Structured Streaming file source with a parquet sink (availableNow)."""
+    from ..streaming.rowwise import stream_labels
+    d = stream_labels(spark, fx.logits(spark, sf_dir), 0.63)
+    return d.select("conversation_id", "turn_id", r6("p1").alias("p1"), "pred", "pred_argmax")
