@@ -91,13 +91,11 @@ def sequence_boundaries(df: DataFrame, true_col: str, pred_col: str, scope: str
     d = df.select(conv, turn, true_col, pred_col)
     if scope == "global":
         d = with_position(d, [conv, turn], "pos")
-        d = boundaries(d, true_col, "tb", "global", conv, turn, pos="pos")
-        d = boundaries(d, pred_col, "pb", "global", conv, turn, pos="pos")
+        d = boundaries(d, [true_col, pred_col], ["tb", "pb"], "global", conv, turn, pos="pos")
         return d.select("pos", "tb", "pb")
     if scope == "conversation":
         d = with_turn_position(d, conv, turn, "pos")
-        d = boundaries(d, true_col, "tb", "conversation", conv, turn)
-        d = boundaries(d, pred_col, "pb", "conversation", conv, turn)
+        d = boundaries(d, [true_col, pred_col], ["tb", "pb"], "conversation", conv, turn)
         return d.select(conv, "pos", "tb", "pb")
     raise ValueError("scope must be 'global' or 'conversation'")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import truncate_tokens
 from ..plans.positions import with_position
-from ..plans.scan import with_prev, with_running_sum
+from ..plans.scan import _BLK, block_of, with_prev, with_running_sum
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
 
@@ -25,20 +25,41 @@ def _key_string(df: DataFrame, key: str):
 
 
 def segment_by_key(df: DataFrame, key: str = "knowledge_source", conv: str = CONV,
-                   turn: str = TURN, key_out: str | None = None) -> DataFrame:
+                   turn: str = TURN, key_out: str | None = None,
+                   block_rows: int | None = None) -> DataFrame:
     """``topic_shift`` = key differs from the previous turn (true on the first
     turn); ``sub_conversation_id`` = number of key changes so far (0-based).
+
+    One skew-safe pass (see :mod:`turnwise.plans.scan`): inside a block the
+    change flags and their running count are window functions; the block
+    table carries each block's first and last key and its count of inner
+    changes, from which the first row's flag and the count of all earlier
+    blocks follow.
     """
     k = key_out or key
     d = df.withColumn(k, _key_string(df, key))
-    d = with_prev(d, [conv], turn, [k, turn], prefix="_prev_")
-    first = F.col("_prev_" + turn).isNull()
-    d = d.withColumn("topic_shift", F.when(first, 1)
-                     .when(~F.col(k).eqNullSafe(F.col("_prev_" + k)), 1)
-                     .otherwise(0).cast("int"))
-    d = d.drop("_prev_" + k, "_prev_" + turn)
-    d = with_running_sum(d, [conv], turn, "topic_shift", "_tw_run")
-    return d.withColumn(SEG, (F.col("_tw_run") - 1).cast("long")).drop("_tw_run")
+    keys = [conv, _BLK]
+    d = d.withColumn(_BLK, block_of(d, turn, block_rows))
+    w = Window.partitionBy(*keys).orderBy(turn)
+    first = F.row_number().over(w) == 1
+    inner = F.when(first, 0).when(~F.col(k).eqNullSafe(F.lag(k).over(w)), 1).otherwise(0)
+    d = d.select("*", first.alias("_tw_first"), inner.alias("_tw_chg"))
+    d = d.withColumn("_tw_run", F.sum("_tw_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = d.groupBy(*keys).agg(F.min_by(F.struct(F.col(k).alias("v")), F.col(turn)).alias("_fk"),
+                                F.max_by(F.struct(F.col(k).alias("v")), F.col(turn)).alias("_lk"),
+                                F.sum("_tw_chg").alias("_in"))
+    wb = Window.partitionBy(conv).orderBy(_BLK)
+    prev_last = F.lag("_lk").over(wb)
+    first_chg = F.when(prev_last.isNull(), 1) \
+                 .when(~F.col("_fk.v").eqNullSafe(prev_last["v"]), 1).otherwise(0)
+    edge = edge.select(*keys, first_chg.alias("_fc"), "_in")
+    edge = edge.select(*keys, "_fc", F.coalesce(F.sum(F.col("_fc") + F.col("_in")).over(
+        wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = d.join(edge, keys, "left")
+    shift = F.when(F.col("_tw_first"), F.col("_fc")).otherwise(F.col("_tw_chg")).cast("int")
+    seg = (F.col("_off") + F.col("_fc") + F.col("_tw_run") - 1).cast("long")
+    out = [c for c in d.columns if c not in (_BLK, "_tw_first", "_tw_chg", "_tw_run", "_fc", "_off")]
+    return d.select(*out, shift.alias("topic_shift"), seg.alias(SEG))
 
 
 def change_flag(df: DataFrame, col: str = SEG, scope: str = "conversation",
@@ -68,24 +89,28 @@ def change_flag(df: DataFrame, col: str = SEG, scope: str = "conversation",
     return d.drop(*[c for c in d.columns if c.startswith("_p_")])
 
 
-def boundaries(df: DataFrame, label: str, out: str, scope: str = "conversation",
+def boundaries(df: DataFrame, label, out, scope: str = "conversation",
                conv: str = CONV, turn: str = TURN, pos: str | None = None) -> DataFrame:
     """0 on the first row, then 1 where ``label`` differs from the previous row.
 
-    Both edges of a run count: ``0 1 0`` has two boundaries.
+    Both edges of a run count: ``0 1 0`` has two boundaries.  ``label`` and
+    ``out`` may be lists: all labels are scanned in one pass.
     """
+    labels = [label] if isinstance(label, str) else list(label)
+    outs = [out] if isinstance(out, str) else list(out)
     if scope == "conversation":
-        d = with_prev(df, [conv], turn, [label], prefix="_p_")
+        d = with_prev(df, [conv], turn, labels, prefix="_p_")
     elif scope == "global":
         d = df if pos else with_position(df, [conv, turn], "_tw_pos")
-        d = with_prev(d, [], pos or "_tw_pos", [label], prefix="_p_")
+        d = with_prev(d, [], pos or "_tw_pos", labels, prefix="_p_")
         if not pos:
             d = d.drop("_tw_pos")
     else:
         raise ValueError("scope must be 'conversation' or 'global'")
-    prev = F.coalesce(F.col("_p_" + label), F.col(label))
-    return d.withColumn(out, F.when(prev != F.col(label), 1).otherwise(0).cast("int")) \
-            .drop("_p_" + label)
+    for lab, o in zip(labels, outs):
+        prev = F.coalesce(F.col("_p_" + lab), F.col(lab))
+        d = d.withColumn(o, F.when(prev != F.col(lab), 1).otherwise(0).cast("int"))
+    return d.drop(*["_p_" + lab for lab in labels])
 
 
 def boundary_positions(df: DataFrame, flag: str, pos: str) -> DataFrame:
@@ -100,6 +125,18 @@ def with_turn_position(df: DataFrame, conv: str = CONV, turn: str = TURN,
     return d.withColumn(out, F.col(out) - 1)
 
 
+def _shift_runs(df: DataFrame, conv: str, turn: str, shift: str) -> DataFrame:
+    """Runs that start at a shift: ``(conv, run, run_len)`` with run = 1, 2, ...
+
+    Every turn belongs to the run of the last shift at or before it (run 0:
+    turns before the first shift).  The gap between shift ``k`` and shift
+    ``k+1``, in turn positions, is the length of run ``k``.
+    """
+    s = F.when(F.col(shift) == 1, 1).otherwise(0)
+    d = with_running_sum(df.select(conv, turn, s.alias("_s")), [conv], turn, F.col("_s"), "run")
+    return d.groupBy(conv, "run").agg(F.count(F.lit(1)).alias("run_len"))
+
+
 def shift_gaps(df: DataFrame, conv: str = CONV, turn: str = TURN,
                shift: str = "topic_shift") -> DataFrame:
     """Gaps (in turn positions) between successive shifts of each conversation.
@@ -107,13 +144,11 @@ def shift_gaps(df: DataFrame, conv: str = CONV, turn: str = TURN,
     Long form ``(conversation_id, gap_index, turn_diff)``: a conversation's
     list of gaps is never collected into one row.
     """
-    d = with_turn_position(df.select(conv, turn, shift), conv, turn, "_pos")
-    s = d.filter(F.col(shift) == 1)
-    s = with_prev(s, [conv], "_pos", ["_pos"], prefix="_p")
-    s = with_running_sum(s, [conv], "_pos", F.lit(1), "_k")
-    return s.filter(F.col("_p_pos").isNotNull()).select(
-        conv, (F.col("_k") - 2).cast("long").alias("gap_index"),
-        (F.col("_pos") - F.col("_p_pos")).cast("long").alias("turn_diff"))
+    runs = _shift_runs(df, conv, turn, shift)
+    last = runs.groupBy(conv).agg(F.max("run").alias("_last"))
+    g = runs.join(last, conv).filter((F.col("run") >= 1) & (F.col("run") < F.col("_last")))
+    return g.select(conv, (F.col("run") - 1).cast("long").alias("gap_index"),
+                    F.col("run_len").cast("long").alias("turn_diff"))
 
 
 def shift_stats(df: DataFrame, conv: str = CONV, turn: str = TURN,
@@ -122,20 +157,16 @@ def shift_stats(df: DataFrame, conv: str = CONV, turn: str = TURN,
 
     Every conversation appears, also one without shifts.
     """
-    gaps = shift_gaps(df, conv, turn, shift)
-    g = gaps.groupBy(conv).agg(
-        F.count(F.lit(1)).alias("len_turn_diffs"),
-        F.count_if(F.col("turn_diff") == 1).alias("single_turn_shifts"),
-        F.count_if(F.col("turn_diff") > 1).alias("multi_turn_shifts"))
-    base = df.groupBy(conv).agg(
-        F.coalesce(F.sum(F.when(F.col(shift) == 1, 1).otherwise(0)), F.lit(0))
-        .cast("long").alias("total_shifts"))
-    out = base.join(g, conv, "left")
-    return out.select(
-        conv, "total_shifts",
-        F.coalesce("single_turn_shifts", F.lit(0)).alias("single_turn_shifts"),
-        F.coalesce("multi_turn_shifts", F.lit(0)).alias("multi_turn_shifts"),
-        F.coalesce("len_turn_diffs", F.lit(0)).alias("len_turn_diffs"))
+    runs = _shift_runs(df, conv, turn, shift)
+    # the last run has no following shift: it is not a gap
+    last = runs.groupBy(conv).agg(F.max("run").alias("_last"))
+    r = runs.join(last, conv)
+    gap = (F.col("run") >= 1) & (F.col("run") < F.col("_last"))
+    return r.groupBy(conv).agg(
+        F.max("run").cast("long").alias("total_shifts"),
+        F.count_if(gap & (F.col("run_len") == 1)).alias("single_turn_shifts"),
+        F.count_if(gap & (F.col("run_len") > 1)).alias("multi_turn_shifts"),
+        F.count_if(gap).alias("len_turn_diffs"))
 
 
 def single_turn_ratio(stats: DataFrame, out: str = "single_turn_ratio") -> DataFrame:

@@ -62,8 +62,7 @@ def w2_change_flag_global(spark, sf_dir):
     FROM preds"""))
 def w3_boundaries(spark, sf_dir):
     p = fx.preds(spark, sf_dir).select("conversation_id", "turn_id", "topic_shift", "pred_shift")
-    p = segment.boundaries(p, "topic_shift", "true_boundary")
-    return segment.boundaries(p, "pred_shift", "pred_boundary")
+    return segment.boundaries(p, ["topic_shift", "pred_shift"], ["true_boundary", "pred_boundary"])
 
 
 @register("w3_boundaries_global", sql(["preds"], """

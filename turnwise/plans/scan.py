@@ -1,21 +1,25 @@
-"""Skew-safe ordered scans inside a group (previous row, next row, running sum).
+"""Skew-safe ordered scans inside a group (previous row, next row, running sums).
 
 A plain ``Window.partitionBy(conversation)`` puts a whole conversation into
 one task.  One conversation may hold a large share of all rows, so every
 ordered scan here is computed in *blocks*: the group key plus
 ``floor(order / block_rows)``.  Inside a block Spark's window operator does the
-work; across blocks a small carry table (one row per block) supplies the value
-of the neighbouring block, or the running total of the earlier blocks.
+work; across blocks a small carry table (one row per block) supplies the edge
+values of the neighbouring blocks and the totals of the earlier ones.
+
+One call of :func:`ordered_scan` is one pass: one shuffle of the rows on
+(group, block), one aggregate of the block edges (no shuffle: the rows are
+already partitioned that way), a window over the block table, and a join of
+the rows with the block table on its unique key.  Callers ask for everything
+they need from one ordering in a single call, so scans do not stack.
 
-The block table has one row per (group, block), i.e. roughly one row per
-conversation, and is joined back on its unique key, so no join is skewed.
 ``order`` must be an integral, roughly dense position (turn ids, row
 positions); blocks then hold at most ``block_rows`` rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +30,6 @@ BLOCK_ROWS = 1 << 16
 BLOCK_CONF = "turnwise.scan.blockRows"
 
 _BLK = "_tw_blk"
-_FIRST = "_tw_first"
-_LAST = "_tw_last"
 
 
 def block_rows_for(df: DataFrame, block_rows: int | None = None) -> int:
@@ -36,68 +38,94 @@ def block_rows_for(df: DataFrame, block_rows: int | None = None) -> int:
     return int(df.sparkSession.conf.get(BLOCK_CONF, str(BLOCK_ROWS)))
 
 
-def _blocked(df: DataFrame, order: str, block_rows: int | None) -> DataFrame:
-    b = block_rows_for(df, block_rows)
-    return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(b)).cast("long"))
+def block_of(df: DataFrame, order: str, block_rows: int | None = None) -> Column:
+    return F.floor(F.col(order) / F.lit(block_rows_for(df, block_rows))).cast("long")
 
 
-def _wb(part: Sequence[str]):
+def _block_window(part: Sequence[str]):
     w = Window.partitionBy(*part) if part else Window
     return w.orderBy(_BLK)
 
 
-def with_prev(df: DataFrame, part: Sequence[str], order: str,
-              cols: Sequence[str], prefix: str = "prev_",
-              block_rows: int | None = None) -> DataFrame:
+def ordered_scan(df: DataFrame, part: Sequence[str], order: str,
+                 prev: Sequence[str] = (), nxt: Sequence[str] = (),
+                 sums: Mapping[str, Column | str] | None = None,
+                 prev_prefix: str = "prev_", next_prefix: str = "next_",
+                 block_rows: int | None = None) -> DataFrame:
+    """One skew-safe pass over each group of ``part`` in ``order``.
+
+    Adds ``prev_prefix + c`` (value on the previous row of the group) for each
+    ``c`` in ``prev``, ``next_prefix + c`` (next row) for each ``c`` in
+    ``nxt``, and for each ``out: expr`` of ``sums`` the running sum of
+    ``expr`` up to and including the row.
+    """
+    part, prev, nxt, sums = list(part), list(prev), list(nxt), dict(sums or {})
+    keys = part + [_BLK]
+    d = df.withColumn(_BLK, block_of(df, order, block_rows))
+    for out, e in sums.items():
+        d = d.withColumn("_tw_v_" + out, (F.col(e) if isinstance(e, str) else e).cast("long"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [F.col(c) for c in d.columns]
+    if prev:
+        cols.append((F.row_number().over(w) == 1).alias("_tw_first"))
+        cols += [F.lag(c).over(w).alias(prev_prefix + c) for c in prev]
+    if nxt:
+        cols.append(F.lead(F.lit(1)).over(w).isNull().alias("_tw_last"))
+        cols += [F.lead(c).over(w).alias(next_prefix + c) for c in nxt]
+    cols += [F.sum("_tw_v_" + out).over(run).alias(out) for out in sums]
+    d = d.select(*cols)
+
+    edge_aggs = []
+    if prev:
+        edge_aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev]), F.col(order)).alias("_tw_e_last"))
+    if nxt:
+        edge_aggs.append(F.min_by(F.struct(*[F.col(c) for c in nxt]), F.col(order)).alias("_tw_e_first"))
+    edge_aggs += [F.sum("_tw_v_" + out).alias("_tw_t_" + out) for out in sums]
+    edge = d.groupBy(*keys).agg(*edge_aggs)
+    wb = _block_window(part)
+    carry = [F.col(k) for k in keys]
+    if prev:
+        carry.append(F.lag("_tw_e_last").over(wb).alias("_tw_cp"))
+    if nxt:
+        carry.append(F.lead("_tw_e_first").over(wb).alias("_tw_cn"))
+    carry += [F.coalesce(F.sum("_tw_t_" + out).over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                         F.lit(0)).alias("_tw_o_" + out) for out in sums]
+    d = d.join(edge.select(*carry), keys, "left")
+
+    outs = []
+    for c in d.columns:
+        if c in (_BLK, "_tw_first", "_tw_last", "_tw_cp", "_tw_cn") or c.startswith(("_tw_v_", "_tw_o_")):
+            continue
+        if prev and c in [prev_prefix + p for p in prev]:
+            src = c[len(prev_prefix):]
+            outs.append(F.when(F.col("_tw_first"), F.col("_tw_cp." + src)).otherwise(F.col(c)).alias(c))
+        elif nxt and c in [next_prefix + p for p in nxt]:
+            src = c[len(next_prefix):]
+            outs.append(F.when(F.col("_tw_last"), F.col("_tw_cn." + src)).otherwise(F.col(c)).alias(c))
+        elif c in sums:
+            outs.append((F.col(c) + F.col("_tw_o_" + c)).alias(c))
+        else:
+            outs.append(F.col(c))
+    return d.select(*outs)
+
+
+def with_prev(df: DataFrame, part: Sequence[str], order: str, cols: Sequence[str],
+              prefix: str = "prev_", block_rows: int | None = None) -> DataFrame:
     """Add ``prefix + c``: the value of ``c`` on the previous row of the group."""
-    return _neighbour(df, list(part), order, list(cols), prefix, block_rows, -1)
+    return ordered_scan(df, part, order, prev=cols, prev_prefix=prefix, block_rows=block_rows)
 
 
-def with_next(df: DataFrame, part: Sequence[str], order: str,
-              cols: Sequence[str], prefix: str = "next_",
-              block_rows: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, part: Sequence[str], order: str, cols: Sequence[str],
+              prefix: str = "next_", block_rows: int | None = None) -> DataFrame:
     """Add ``prefix + c``: the value of ``c`` on the next row of the group."""
-    return _neighbour(df, list(part), order, list(cols), prefix, block_rows, 1)
+    return ordered_scan(df, part, order, nxt=cols, next_prefix=prefix, block_rows=block_rows)
 
 
-def _neighbour(df, part, order, cols, prefix, block_rows, step):
-    keys = part + [_BLK]
-    d = _blocked(df, order, block_rows)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc() if step < 0 else F.col(order).desc())
-    d = d.withColumn(_FIRST, F.row_number().over(w) == 1)
-    for c in cols:
-        d = d.withColumn(prefix + c, F.lag(c).over(w))
-    # edge row of each block: the last row (for prev) or first row (for next)
-    pick = F.max_by if step < 0 else F.min_by
-    edge = d.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias(_LAST))
-    wb = _wb(part)
-    carry_fn = F.lag if step < 0 else F.lead
-    carry = edge.select(*keys, carry_fn(_LAST).over(wb).alias("_tw_carry"))
-    d = d.join(carry, keys, "left")
-    for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col(_FIRST), F.col("_tw_carry." + c))
-                         .otherwise(F.col(prefix + c)))
-    return d.drop(_BLK, _FIRST, "_tw_carry")
-
-
-def with_running_sum(df: DataFrame, part: Sequence[str], order: str,
-                     value: Column | str, out: str,
-                     block_rows: int | None = None) -> DataFrame:
+def with_running_sum(df: DataFrame, part: Sequence[str], order: str, value: Column | str,
+                     out: str, block_rows: int | None = None) -> DataFrame:
     """Add ``out``: sum of ``value`` over the group's rows up to and including this one."""
-    part = list(part)
-    keys = part + [_BLK]
-    val = F.col(value) if isinstance(value, str) else value
-    d = _blocked(df, order, block_rows).withColumn("_tw_v", val.cast("long"))
-    w = (Window.partitionBy(*keys).orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn(out, F.sum("_tw_v").over(w))
-    tot = d.groupBy(*keys).agg(F.sum("_tw_v").alias("_tw_tot"))
-    off = tot.select(*keys, F.coalesce(
-        F.sum("_tw_tot").over(_wb(part).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_tw_off"))
-    d = d.join(off, keys, "left")
-    d = d.withColumn(out, F.col(out) + F.col("_tw_off"))
-    return d.drop(_BLK, "_tw_v", "_tw_off")
+    return ordered_scan(df, part, order, sums={out: value}, block_rows=block_rows)
 
 
 def with_row_number(df: DataFrame, part: Sequence[str], order: str, out: str,
