@@ -121,7 +121,7 @@ _REPORT = """
 
 @register("m7_classification_report", sql(["preds"], """
     SELECT 'No Shift' AS class_name, round(pr0, 6) AS precision, round(rc0, 6) AS recall,
-           round(f0, 6) AS f1_score, sp0 AS support FROM f
+           round(f0, 6) AS f1_score, CAST(sp0 AS BIGINT) AS support FROM f
     UNION ALL SELECT 'Topic Shift', round(pr1, 6), round(rc1, 6), round(f1, 6), sp1 FROM f
     UNION ALL SELECT 'accuracy', NULL, NULL, round((tp0 + tp1) / n, 6), n FROM f
     UNION ALL SELECT 'macro avg', round((pr0 + pr1) / 2, 6), round((rc0 + rc1) / 2, 6),
