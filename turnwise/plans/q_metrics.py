@@ -107,10 +107,10 @@ def m6_nt_xent(spark, sf_dir):
 
 _REPORT = """
     c AS (SELECT count(*) AS n,
-                 count_if(topic_shift = 0 AND pred_shift = 0) AS tp0, count_if(pred_shift = 0) AS pp0,
-                 count_if(topic_shift = 0) AS sp0,
-                 count_if(topic_shift = 1 AND pred_shift = 1) AS tp1, count_if(pred_shift = 1) AS pp1,
-                 count_if(topic_shift = 1) AS sp1 FROM preds),
+                 CAST(count_if(topic_shift = 0 AND pred_shift = 0) AS BIGINT) AS tp0, CAST(count_if(pred_shift = 0) AS BIGINT) AS pp0,
+                 CAST(count_if(topic_shift = 0) AS BIGINT) AS sp0,
+                 CAST(count_if(topic_shift = 1 AND pred_shift = 1) AS BIGINT) AS tp1, CAST(count_if(pred_shift = 1) AS BIGINT) AS pp1,
+                 CAST(count_if(topic_shift = 1) AS BIGINT) AS sp1 FROM preds),
     m AS (SELECT *, CASE WHEN pp0 > 0 THEN tp0 / pp0 ELSE 0.0 END AS pr0,
                  CASE WHEN sp0 > 0 THEN tp0 / sp0 ELSE 0.0 END AS rc0,
                  CASE WHEN pp1 > 0 THEN tp1 / pp1 ELSE 0.0 END AS pr1,
