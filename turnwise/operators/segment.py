@@ -218,3 +218,36 @@ def token_budget(df: DataFrame, col: str, n: int, side: str = "right",
                  out: str | None = None) -> DataFrame:
     """Keep ``n`` white-space tokens of ``col``."""
     return df.withColumn(out or col, truncate_tokens(col, n, side))
+
+
+def budgeted_model_input(df: DataFrame, n_tokens: int, scope: str = "segment",
+                         out: str = "input_text", conv: str = CONV, seg: str = SEG,
+                         turn: str = TURN, message: str = "message") -> DataFrame:
+    """W7 + W8 + W10 in bounded size: the first ``n_tokens`` white-space tokens of
+    ``History: {h} New message: {m}``.
+
+    Equal to truncating the full model input, without building the quadratic
+    history: only messages whose first token lies within the first
+    ``n_tokens`` tokens of their segment (a running token offset, skew-safe)
+    can appear, so each segment contributes at most ``n_tokens`` head messages.
+    They are collected per segment and joined back on the segment key.
+    """
+    from ..functions.text import whitespace_tokens
+    part = [conv, seg] if scope == "segment" else [conv]
+    if scope not in ("segment", "conversation"):
+        raise ValueError("scope must be 'segment' or 'conversation'")
+    d = df.withColumn("_tw_tok", whitespace_tokens(message)) \
+          .withColumn("_tw_nt", F.size("_tw_tok"))
+    d = with_running_sum(d, part, turn, "_tw_nt", "_tw_end")
+    start = F.col("_tw_end") - F.col("_tw_nt")
+    head = d.filter((start < n_tokens) & (F.col("_tw_nt") > 0)).groupBy(*part).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("_tw_tok").alias("k"))))
+        .alias("_tw_head"))
+    j = d.join(head, part, "left")
+    earlier = F.filter(F.coalesce(F.col("_tw_head"), F.array().cast(head.schema["_tw_head"].dataType)),
+                       lambda x: x["t"] < F.col(turn))
+    hist = F.flatten(F.transform(earlier, lambda x: x["k"]))
+    allt = F.concat(F.array(F.lit("History:")), F.slice(hist, 1, n_tokens),
+                    F.array(F.lit("New"), F.lit("message:")), F.col("_tw_tok"))
+    j = j.withColumn(out, F.array_join(F.slice(allt, 1, n_tokens), " "))
+    return j.drop("_tw_tok", "_tw_nt", "_tw_end", "_tw_head")

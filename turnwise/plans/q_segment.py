@@ -241,3 +241,28 @@ def w10_truncate_tokens(spark, sf_dir):
     t = segment.token_budget(t, "input_text", W10_N, "right", "kept_right")
     t = segment.token_budget(t, "input_text", W10_N, "left", "kept_left")
     return t.select("conversation_id", "turn_id", "kept_right", "kept_left")
+
+
+def _budget_sql(view: str, part: str, n: int) -> str:
+    return sql([view], f"""
+    SELECT conversation_id, turn_id,
+           array_to_string({_ws_tokens_sql('input_text')}[1:{n}], ' ') AS input_text
+    FROM (SELECT conversation_id, turn_id,
+                 'History: ' || coalesce(string_agg(message, ' ') OVER (PARTITION BY {part}
+                      ORDER BY turn_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
+                 || ' New message: ' || message AS input_text
+          FROM {view})""")
+
+
+@register("w10_budgeted_model_input", _budget_sql("topic_turns", "conversation_id, sub_conversation_id", 24))
+def w10_budgeted_model_input(spark, sf_dir):
+    """First 24 tokens of the segment-history model input, without the quadratic history."""
+    t = segment.budgeted_model_input(fx.topic_turns(spark, sf_dir), 24, "segment")
+    return t.select("conversation_id", "turn_id", "input_text")
+
+
+@register("w10_budgeted_model_input_events", _budget_sql("event_turns", "conversation_id", 40))
+def w10_budgeted_model_input_events(spark, sf_dir):
+    """First 40 tokens of the whole-conversation history input on long event conversations."""
+    t = segment.budgeted_model_input(fx.event_turns(spark, sf_dir), 40, "conversation")
+    return t.select("conversation_id", "turn_id", "input_text")
