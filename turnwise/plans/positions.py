@@ -18,12 +18,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row in ``order``.
@@ -32,8 +26,10 @@ def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "pos"
     gap-free numbering.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = _n_parts(df, num_partitions)
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE sizes the range partitions from the data
+    # (advisory partition size); the checkpoint below fixes whatever it chose.
+    r = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    s = (r.sortWithinPartitions(*order)
          .withColumn("_tw_pid", F.spark_partition_id())
          .withColumn("_tw_idx", F.monotonically_increasing_id()
                      - F.shiftleft(F.col("_tw_pid").cast("long"), 33)))
