@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import portable_hash
-from ..plans.positions import dense_rank_of, with_position
+from ..plans.positions import dense_rank_of, with_group_rank, with_position
 from ..plans.scan import with_running_sum
 from .ids import attach_scalar
 
@@ -101,13 +101,14 @@ def augment(df: DataFrame, synthetic: DataFrame) -> DataFrame:
 def sample_per_class(df: DataFrame, label: str, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Shuffle each class by a seeded hash of ``key`` and keep its first ``n`` rows.
 
-    ``row_number() <= n`` per class plans a WindowGroupLimit: every map task
-    keeps at most ``n`` rows per class before the shuffle.
+    A class is a group of possibly most of the rows, so the rank inside the
+    class comes from range-partitioned positions over (class, hash, key), not
+    from a window per class: no class has to fit in one task.
     """
-    from pyspark.sql import Window
-    order = portable_hash(F.lit(str(seed)), *[F.col(c) for c in key])
-    w = Window.partitionBy(label).orderBy(order, *key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    h = portable_hash(F.lit(str(seed)), *[F.col(c) for c in key])
+    d = with_group_rank(df.withColumn("_tw_h", h), [label], [F.col("_tw_h")] + [F.col(c) for c in key],
+                        "_tw_rank")
+    return d.filter(F.col("_tw_rank") < n).drop("_tw_h", "_tw_rank")
 
 
 def split_rows(df: DataFrame, frac: float, key: list[str], seed: int = 42,
