@@ -230,7 +230,9 @@ def budgeted_model_input(df: DataFrame, n_tokens: int, scope: str = "segment",
     history: only messages whose first token lies within the first
     ``n_tokens`` tokens of their segment (a running token offset, skew-safe)
     can appear, so each segment contributes at most ``n_tokens`` head messages.
-    They are collected per segment and joined back on the segment key.
+    They are collected per segment (each cut to ``n_tokens`` tokens, so the
+    list holds at most ``n_tokens**2`` tokens) and joined back on the segment
+    key.
     """
     from ..functions.text import whitespace_tokens
     part = [conv, seg] if scope == "segment" else [conv]
@@ -241,7 +243,8 @@ def budgeted_model_input(df: DataFrame, n_tokens: int, scope: str = "segment",
     d = with_running_sum(d, part, turn, "_tw_nt", "_tw_end")
     start = F.col("_tw_end") - F.col("_tw_nt")
     head = d.filter((start < n_tokens) & (F.col("_tw_nt") > 0)).groupBy(*part).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col("_tw_tok").alias("k"))))
+        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"),
+                                             F.slice("_tw_tok", 1, n_tokens).alias("k"))))
         .alias("_tw_head"))
     j = d.join(head, part, "left")
     earlier = F.filter(F.coalesce(F.col("_tw_head"), F.array().cast(head.schema["_tw_head"].dataType)),
