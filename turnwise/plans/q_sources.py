@@ -42,7 +42,7 @@ def s1_read_nested_json(spark, sf_dir):
                     "message", "knowledge_source", "topic_shift", "sentiment", "turn_rating")
 
 
-@register("s2_read_delimited", sql(["turns"], f"""
+ORACLE_S2 = sql(["turns"], f"""
     SELECT CAST(dense_rank() OVER (ORDER BY conversation_id) AS BIGINT) AS Chat_ID,
            CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id) - 1 AS BIGINT) AS Count,
            CASE WHEN (row_number() OVER (PARTITION BY conversation_id ORDER BY turn_id) - 1) % 2 = 0
@@ -51,7 +51,10 @@ def s1_read_nested_json(spark, sf_dir):
     FROM (SELECT conversation_id, turn_id,
                  {strip("regexp_replace(message, '[' || chr(13) || chr(10) || ']', ' ', 'g')")} AS m
           FROM turns)
-    WHERE m <> ''"""))
+    WHERE m <> ''""")
+
+
+@register("s2_read_delimited", ORACLE_S2)
 def s2_read_delimited(spark, sf_dir):
     """``__eou__``-delimited lines -> turns with 1-based chat ids."""
     return readers.explode_delimited(fx.eou_lines(spark, sf_dir), "value", "line_no")
@@ -131,3 +134,38 @@ def j3_reconcile_turns(spark, sf_dir):
     parsed = readers.parse_transcript(b, "conversation_id", "best_generated_conversation")
     return joins.reconcile_turns(expected, parsed).select(
         "conversation_id", "total_turns", "n_parsed", "differs")
+
+
+@register("s1_read_nested_json_file", sql(["topic_turns"], """
+    SELECT 'c' || conversation_id AS conversation_key,
+           CAST(dense_rank() OVER (ORDER BY conversation_id) - 1 AS BIGINT) AS conversation_id,
+           sub_conversation_id, turn_id, agent, message, knowledge_source, topic_shift,
+           'Neutral' AS sentiment, 'Good' AS turn_rating
+    FROM topic_turns"""))
+def s1_read_nested_json_file(spark, sf_dir):
+    """S1 from JSON Lines files: documents written in conversation order, read back with
+    the file's own line order giving first appearance."""
+    path = scratch_path(spark, "nested-json")
+    fx.json_docs(spark, sf_dir).orderBy("conversation_id").select("value").write.text(path)
+    t = readers.number_conversations(readers.read_nested_json(spark, path))
+    t = segment_by_key(t, "knowledge_source")
+    return t.select("conversation_key", "conversation_id", "sub_conversation_id", "turn_id", "agent",
+                    "message", "knowledge_source", "topic_shift", "sentiment", "turn_rating")
+
+
+@register("s2_read_delimited_file", ORACLE_S2)
+def s2_read_delimited_file(spark, sf_dir):
+    """S2 from a text file of ``__eou__`` lines, in file order."""
+    path = scratch_path(spark, "eou")
+    fx.eou_lines(spark, sf_dir).orderBy("line_no").select("value").write.text(path)
+    return readers.read_delimited(spark, path)
+
+
+@register("s3_read_csv_with_index", _TOPIC_SQL)
+def s3_read_csv_with_index(spark, sf_dir):
+    """A turn CSV saved with its row index (``Unnamed: 0``), read back without it."""
+    t = fx.topic_turns(spark, sf_dir).select(*_TOPIC_COLS)
+    t = t.select(F.monotonically_increasing_id().alias("Unnamed: 0"), *_TOPIC_COLS)
+    path = scratch_path(spark, "csv-index")
+    sinks.write_csv(t, path)
+    return readers.read_turns_csv(spark, path, "`Unnamed: 0` bigint, " + _TOPIC_SCHEMA)
