@@ -117,9 +117,9 @@ def p10_reset_first_row(spark, sf_dir):
     return clean.reset_first_turn(t, "first_row").select("conversation_id", "turn_id", "topic_shift")
 
 
-@register("p11_preview", sql(["topic_turns"], """
-    SELECT conversation_id, turn_id, message FROM topic_turns
+@register("p11_preview", sql(["turns"], """
+    SELECT conversation_id, turn_id, message FROM turns
     ORDER BY conversation_id, turn_id LIMIT 25"""))
 def p11_preview(spark, sf_dir):
-    t = fx.topic_turns(spark, sf_dir).select("conversation_id", "turn_id", "message")
+    t = fx.turns(spark, sf_dir).select("conversation_id", "turn_id", "message")
     return clean.preview(t, 25, ["conversation_id", "turn_id"])

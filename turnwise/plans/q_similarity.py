@@ -18,10 +18,10 @@ STOPWORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "w
              "un", "une", "der", "die", "das", "und", "ein", "zu", "el", "los", "las", "que", "y")
 
 _TFIDF = f"""
-    tok AS (SELECT conversation_id, turn_id, unnest({toks(norm_text('message'))}) AS term FROM topic_turns),
+    tok AS (SELECT conversation_id, turn_id, unnest({toks(norm_text('message'))}) AS term FROM turns),
     tf AS (SELECT conversation_id, turn_id, term, count(*) AS tf FROM tok GROUP BY ALL),
     dfq AS (SELECT conversation_id, term, count(*) AS df FROM tf GROUP BY ALL),
-    nd AS (SELECT conversation_id, count(*) AS n_docs FROM topic_turns GROUP BY 1),
+    nd AS (SELECT conversation_id, count(*) AS n_docs FROM turns GROUP BY 1),
     w0 AS (SELECT tf.*, tf.tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1.0) AS raw
            FROM tf JOIN dfq USING (conversation_id, term) JOIN nd USING (conversation_id)),
     nrm AS (SELECT conversation_id, turn_id, sqrt(sum(raw * raw)) AS l2 FROM w0 GROUP BY ALL),
@@ -29,7 +29,7 @@ _TFIDF = f"""
                  raw / CASE WHEN l2 > 0 THEN l2 ELSE 1.0 END AS weight
           FROM w0 JOIN nrm USING (conversation_id, turn_id)),
     nxt AS (SELECT * FROM (SELECT conversation_id, turn_id, lead(turn_id) OVER ({_W}) AS next_turn_id
-                           FROM topic_turns) WHERE next_turn_id IS NOT NULL),
+                           FROM turns) WHERE next_turn_id IS NOT NULL),
     cs AS (SELECT n.conversation_id, n.turn_id, n.next_turn_id,
                   coalesce(sum(a.weight * b.weight), 0.0) AS similarity
            FROM nxt n
@@ -39,34 +39,34 @@ _TFIDF = f"""
            GROUP BY ALL)"""
 
 
-@register("x1_tfidf", sql(["topic_turns"], """
+@register("x1_tfidf", sql(["turns"], """
     SELECT conversation_id, turn_id, term, tf, round(weight, 6) AS weight FROM w""", _TFIDF))
 def x1_tfidf(spark, sf_dir):
-    w = sim.tfidf(fx.topic_turns(spark, sf_dir))
+    w = sim.tfidf(fx.turns(spark, sf_dir))
     return w.select("conversation_id", "turn_id", "term", "tf", r6("weight").alias("weight"))
 
 
-@register("x2_consecutive_tfidf", sql(["topic_turns"], """
+@register("x2_consecutive_tfidf", sql(["turns"], """
     SELECT conversation_id, turn_id, next_turn_id, round(similarity, 6) AS similarity FROM cs""", _TFIDF))
 def x2_consecutive_tfidf(spark, sf_dir):
-    s = sim.consecutive_tfidf(fx.topic_turns(spark, sf_dir))
+    s = sim.consecutive_tfidf(fx.turns(spark, sf_dir))
     return s.select("conversation_id", "turn_id", "next_turn_id", r6("similarity").alias("similarity"))
 
 
-@register("x3_shifts_below", sql(["topic_turns"], """
+@register("x3_shifts_below", sql(["turns"], """
     SELECT conversation_id, turn_id, round(similarity, 6) AS similarity FROM cs WHERE similarity < 0.1""",
                                   _TFIDF))
 def x3_shifts_below(spark, sf_dir):
-    s = sim.shifts_below(sim.consecutive_tfidf(fx.topic_turns(spark, sf_dir)), 0.1)
+    s = sim.shifts_below(sim.consecutive_tfidf(fx.turns(spark, sf_dir)), 0.1)
     return s.select("conversation_id", "turn_id", r6("similarity").alias("similarity"))
 
 
-@register("x4_shift_pairs", sql(["topic_turns"], f"""
+@register("x4_shift_pairs", sql(["turns"], f"""
     SELECT t.conversation_id, t.turn_id, t.message AS message_1, t.nm AS message_2
-    FROM (SELECT *, lead(message) OVER ({_W}) AS nm FROM topic_turns) t
+    FROM (SELECT *, lead(message) OVER ({_W}) AS nm FROM turns) t
     JOIN cs USING (conversation_id, turn_id) WHERE cs.similarity < 0.1""", _TFIDF))
 def x4_shift_pairs(spark, sf_dir):
-    t = fx.topic_turns(spark, sf_dir)
+    t = fx.turns(spark, sf_dir)
     flags = sim.shifts_below(sim.consecutive_tfidf(t), 0.1)
     return sim.shift_pairs(t, flags)
 
@@ -84,14 +84,14 @@ def x5_consecutive_cosine(spark, sf_dir):
                     F.when(F.col("similarity") < 0.3, 1).otherwise(0).alias("below_03"))
 
 
-@register("x7_keyword_overlap", sql(["topic_turns"], f"""
+@register("x7_keyword_overlap", sql(["turns"], f"""
     SELECT conversation_id, turn_id, round(ov, 6) AS overlap FROM (
       SELECT conversation_id, turn_id,
              CASE WHEN lag(turn_id) OVER ({_W}) IS NULL THEN NULL
                   ELSE {kw_overlap(f'lag(message) OVER ({_W})', 'message', STOPWORDS)} END AS ov
-      FROM topic_turns)"""))
+      FROM turns)"""))
 def x7_keyword_overlap(spark, sf_dir):
-    d = sim.keyword_overlap_prev(fx.topic_turns(spark, sf_dir), "overlap", STOPWORDS)
+    d = sim.keyword_overlap_prev(fx.turns(spark, sf_dir), "overlap", STOPWORDS)
     return d.select("conversation_id", "turn_id", r6("overlap").alias("overlap"))
 
 
