@@ -135,6 +135,3 @@ def split_conversations(df: DataFrame, frac: float, seed: int = 42, conv: str =
     h = portable_hash(F.lit(str(seed)), F.col(conv))
     return df.withColumn(out, F.when(h < F.lit(int(frac * (1 << 32))), "train").otherwise("test"))
 
-
-def hash_order(seed: int, *cols: str) -> Column:
-    return portable_hash(F.lit(str(seed)), *[F.col(c) for c in cols])

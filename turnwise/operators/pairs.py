@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from ..plans.scan import with_running_sum
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
-_OUT = [CONV, SEG, TURN, "family", "rule", "n_pairs"]
 
 # Family names and the partner rule of each family.
 RULES = {
