@@ -82,7 +82,22 @@ def _count():
 _counter = _count()
 
 
+_PARQUET_UNSAFE = set(" ,;{}()\n\t=")
+
+
 def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and continue from the stored copy.
+
+    The copy is a parquet table under ``spark.checkpoint.dir`` (compressed, and
+    later reads prune the columns they do not need); column names parquet may
+    reject fall back to a reliable ``checkpoint()`` in the same folder.
+    Either way a lost executor re-reads the stored rows instead of
+    recomputing the lineage.
+    """
+    spark = df.sparkSession
+    if any(ch in _PARQUET_UNSAFE for c in df.columns for ch in c):
+        shared_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
