@@ -174,3 +174,15 @@ def test_keyword_overlap_stopwords(spark):
     df = spark.createDataFrame([("the cat sat", "the cat ran")], "a string, b string")
     r = df.select(similarity.keyword_overlap(F.col("a"), F.col("b"), ["the"]).alias("o")).collect()[0]
     assert r.o == pytest.approx(1 / (3 + 1e-6))
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    vals = [0.0, 0.05, 0.1, 0.15, 0.3, 0.35, 0.5, 0.55, 0.6, 0.7, 0.95, 1.0, 1.0, 0.333, 0.667]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r["count"] for r in profile.histogram(df, "x", 20).orderBy("bin").collect()]
+    exp, _ = np.histogram(vals, bins=20)
+    assert got == exp.tolist()
+    one = spark.createDataFrame([(0.4,), (0.4,)], "x double")
+    got = [r["count"] for r in profile.histogram(one, "x", 20).orderBy("bin").collect()]
+    assert got == np.histogram([0.4, 0.4], bins=20)[0].tolist()

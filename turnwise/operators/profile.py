@@ -42,21 +42,30 @@ def turn_histogram(df: DataFrame, conv: str = CONV) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """A5: equal-width histogram with ``bins`` bins; the last bin is closed.
 
-    Returns every bin ``(bin, lo, hi, count)``, empty ones with 0.  When all
-    values are equal the range is widened by 0.5 on each side.
+    Bin assignment follows numpy's: index ``floor((x - lo) * bins / (hi - lo))``,
+    then corrected against the actual edges ``lo + i * step`` (last edge ``hi``),
+    so a value on an edge lands where numpy puts it.  Returns every bin
+    ``(bin, lo, hi, count)``, empty ones with 0.  When all values are equal the
+    range is widened by 0.5 on each side.
     """
     x = F.col(col).cast("double")
     mm = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"))
     mm = mm.select(F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    b = F.least(F.floor((x - F.col("_lo")) / w), F.lit(bins - 1)).cast("long")
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+
+    def edge(i):
+        return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
+
+    i0 = F.floor((x - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))).cast("long")
+    i1 = F.when(i0 >= bins, F.lit(bins - 1)).otherwise(i0)
+    i2 = F.when(x < edge(i1), i1 - 1).otherwise(i1)
+    i3 = F.when((x >= edge(i2 + 1)) & (i2 != bins - 1), i2 + 1).otherwise(i2)
     counted = attach_scalar(df.select(col).filter(F.col(col).isNotNull()), mm) \
-        .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        .groupBy(i3.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     allbins = attach_scalar(spark.range(bins).withColumnRenamed("id", "bin"), mm)
-    allbins = allbins.select("bin", (F.col("_lo") + F.col("bin") * w).alias("lo"),
-                             (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"))
+    allbins = allbins.select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
     return allbins.join(counted, "bin", "left").select(
         "bin", "lo", "hi", F.coalesce(F.col("count"), F.lit(0)).alias("count"))
 

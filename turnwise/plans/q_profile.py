@@ -47,14 +47,22 @@ def a4_turn_histogram(spark, sf_dir):
     return profile.turn_histogram(fx.turns(spark, sf_dir))
 
 
-@register("a5_histogram", sql(["event_turns"], """
-    SELECT b.bin, round(mm.lo + b.bin * (mm.hi - mm.lo) / 20, 6) AS lo,
-           round(mm.lo + (b.bin + 1) * (mm.hi - mm.lo) / 20, 6) AS hi,
+def _edge(i: str) -> str:
+    return f"CASE WHEN {i} >= 20 THEN mm.hi ELSE CAST({i} AS DOUBLE) * ((mm.hi - mm.lo) / 20) + mm.lo END"
+
+
+_I0 = "CAST(floor((single_turn_ratio - mm.lo) * (20.0 / (mm.hi - mm.lo))) AS BIGINT)"
+_I1 = f"CASE WHEN {_I0} >= 20 THEN 19 ELSE {_I0} END"
+_I2 = f"CASE WHEN single_turn_ratio < {_edge(_I1)} THEN {_I1} - 1 ELSE {_I1} END"
+_I3 = f"CASE WHEN single_turn_ratio >= {_edge(f'({_I2}) + 1')} AND ({_I2}) <> 19 THEN ({_I2}) + 1 ELSE {_I2} END"
+
+
+@register("a5_histogram", sql(["event_turns"], f"""
+    SELECT b.bin, round({_edge('b.bin')}, 6) AS lo, round({_edge('b.bin + 1')}, 6) AS hi,
            CAST(coalesce(c.count, 0) AS BIGINT) AS count
     FROM (SELECT range AS bin FROM range(20)) b
     CROSS JOIN mm
-    LEFT JOIN (SELECT CAST(least(floor((single_turn_ratio - mm.lo) / ((mm.hi - mm.lo) / 20)), 19) AS BIGINT)
-                        AS bin, count(*) AS count
+    LEFT JOIN (SELECT {_I3} AS bin, count(*) AS count
                FROM ratio CROSS JOIN mm GROUP BY 1) c USING (bin)""",
                                    _SHIFT_STATS.format(src="event_turns") + """,
     mm AS (SELECT CASE WHEN min(single_turn_ratio) = max(single_turn_ratio)
