@@ -42,13 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, slices, stored, unpack
+from .common import discard, pack, slices, stored, unpack
 
 K = 5
 START = 0  # the context at a document's start; words are numbered from 1
 END = np.uint64(1)  # the end token's hash; words' hashes are larger
 KEPT = 0.001  # what counts above K give up, so that every context leaves something
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 9_000_000
 HOT_SHARE = 65_536
 
 
@@ -324,6 +324,8 @@ def score(docs: DataFrame, divisor: int = 7, fold: int = 2, id_col: str = "doc_i
     blocks = make_blocks(docs, divisor, fold, id_col, text_col)
     blocks = stored(blocks, "lm-blocks")
     words = stored(count_words(send_words(blocks, n_buckets)), "lm-words")
+    documents = stored(blocks.select("block", "document"), "lm-documents")
+    discard(blocks)
     # One row per bucket and no words in it.
     tables = words.where("block IS NULL").select("bucket", "words", "tokens", "ends", "of_counts").orderBy("bucket").collect()
     first_number, nxt = {}, 1
@@ -335,8 +337,9 @@ def score(docs: DataFrame, divisor: int = 7, fold: int = 2, id_col: str = "doc_i
     of_counts = [sum(x) for x in zip(*(t["of_counts"] for t in tables))] or [0] * (K + 2)
     model = unigram_model(of_counts, sum(t["tokens"] for t in tables), sum(t["ends"] for t in tables))
     answers = words.where("block IS NOT NULL").select("bucket", "block", "numbers", "counts")
-    sent = send_bigrams(blocks, answers, n_buckets, first_number, model)
+    sent = send_bigrams(documents, answers, n_buckets, first_number, model)
     found = stored(look_up(sent, model), "lm-bigrams")
+    discard(documents)
     documents = found.where("about_documents").select("block", "payload")
     n = found.where("block IS NULL").select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n"))
     n = {r["r"]: r["n"] for r in n.collect()}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, stored
 
 SEED = 42
 
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
                .withColumn("root", F.coalesce("root", "fp"))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_fp = stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "of-fp")
+    discard(fps, links, least)
     return rows.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
