@@ -49,6 +49,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("part").slice(i, j - i), lists],
                                                  ["doc_id", "part", "ids"])
+        enc.rest()
 
     (rows.mapInArrow(encode, ID_SCHEMA).write
      .option("compression", "zstd")

@@ -58,6 +58,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, PIECE)

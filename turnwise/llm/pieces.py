@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -101,6 +101,12 @@ class PieceEncoder:
             extra.update(got)
             self.memo.extra = extra
 
+    def rest(self, keep: int = 300_000) -> None:
+        """Forget all but the first pieces learned (the frequent ones) when a task ends, so that
+        idle workers stay small."""
+        if len(self.memo) > keep:
+            self.memo = _Memo(islice(self.memo.items(), keep))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in slices(texts):

@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         for b in batches:
             counts = [len(ids) // 4 for ids in enc.encode(b.column("norm").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+        enc.rest()
 
     new = misses.mapInArrow(encode, "content binary, n_tokens long")
     new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
