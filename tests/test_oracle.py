@@ -12,7 +12,9 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 def test_all_queries_match_oracle(spark):
     from check_oracle import compare
-    res = compare(spark, SF001, verbose=False)
+    from turnwise.plans import catalog
+    catalog.load_all()
+    res = compare(spark, SF001, names=list(catalog.QUERIES), verbose=False)
     bad = {k: v for k, v in res.items() if v.get("match") is False}
     assert not bad, bad
     assert sum(1 for v in res.values() if v.get("match")) >= 100

@@ -8,6 +8,7 @@ conversation alone.
 import random
 
 import pandas as pd
+import duckdb
 import pytest
 
 from turnwise.operators import pairs, segment
@@ -58,12 +59,15 @@ def test_segmentation_and_stats_match_brute_force(spark, hot):
     assert seg["topic_shift"].tolist() == pdf["topic_shift"].tolist()
     assert seg["sub_conversation_id"].tolist() == pdf["sub_conversation_id"].tolist()
     st = segment.shift_stats(segment.segment_by_key(df, "k")).toPandas().set_index("conversation_id")
-    for cid, grp in pdf.groupby("conversation_id"):
-        idx = grp.reset_index(drop=True).index[grp["topic_shift"].to_numpy() == 1].tolist()
-        diffs = [b - a for a, b in zip(idx, idx[1:])]
-        r = st.loc[cid]
-        assert (r.total_shifts, r.single_turn_shifts, r.multi_turn_shifts) == (
-            len(idx), sum(d == 1 for d in diffs), sum(d > 1 for d in diffs))
+    want = duckdb.sql("""
+        WITH s AS (SELECT conversation_id, turn_id, lead(turn_id) OVER (PARTITION BY conversation_id ORDER BY turn_id) - turn_id AS gap
+                   FROM pdf WHERE topic_shift = 1)
+        SELECT conversation_id, count(*) AS shifts, count(*) FILTER (gap = 1) AS single, count(*) FILTER (gap > 1) AS multi
+        FROM s GROUP BY ALL""").df().set_index("conversation_id")
+    st = st.loc[want.index]
+    assert st["total_shifts"].tolist() == want["shifts"].tolist()
+    assert st["single_turn_shifts"].tolist() == want["single"].tolist()
+    assert st["multi_turn_shifts"].tolist() == want["multi"].tolist()
 
 
 def test_pair_counts_match_brute_force(spark, hot):

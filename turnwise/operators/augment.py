@@ -45,11 +45,11 @@ def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42) -> DataFram
     samples = convs.select(F.explode(F.sequence(F.col("_crank") * per_conversation,
                                                 F.col("_crank") * per_conversation + per_conversation - 1))
                            .alias("sample"))
-    samples = attach_scalar(samples, stats)
+    samples = attach_scalar(samples, stats).where("_C > 1")  # a single conversation has no partner
     h = lambda tag: portable_hash(F.lit(str(seed)), F.col("sample"), F.lit(tag))
     ra = h("a") % F.col("_C")
     samples = samples.withColumn("_ra", ra).withColumn(
-        "_rb", (F.col("_ra") + 1 + h("b") % (F.col("_C") - 1)) % F.col("_C"))
+        "_rb", (F.col("_ra") + 1 + h("b") % F.greatest(F.col("_C") - 1, F.lit(1))) % F.col("_C"))
     samples = samples.withColumn("_la", 2 * (1 + h("la") % 3)).withColumn("_lb", 2 * (1 + h("lb") % 3)) \
                      .withColumn("_ha", h("sa")).withColumn("_hb", h("sb"))
     segs = _segments(df).join(convs, CONV)

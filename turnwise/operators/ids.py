@@ -54,7 +54,7 @@ def offset_ids(dfs: Sequence[DataFrame], col: str = CONV, mode: str = "safe") ->
     step = 1 if mode == "safe" else 0
     # one-row table of per-table maxima, then running offsets (size = number of tables)
     maxes = None
-    for i, d in enumerate(dfs):
+    for i, d in enumerate(dfs[:-1] or dfs):  # nothing comes after the last
         m = d.agg(F.max(col).cast("long").alias(f"_m{i}"))
         maxes = m if maxes is None else attach_scalar(maxes, m)
     offs = [F.lit(0).cast("long")]

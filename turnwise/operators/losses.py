@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2_normalize, pair_distance
 from ..plans.positions import with_position
 
-MAX_BATCH = 4096
+CHUNK = 1024
 
 
 def _lse(l0: Column, l1: Column) -> Column:
@@ -78,18 +78,24 @@ def nt_xent(df: DataFrame, a: str, b: str, order: list[str], tau: float = 0.5,
     For anchor ``h_i`` (first vector of pair i) the positive is ``h_j`` (its
     second vector) and the denominator sums ``exp(sim(h_i, h_k)/tau)`` over
     all 2N vectors of the batch, itself included unless ``include_self`` is
-    false.  The batch is a model hyper-parameter bounded by ``MAX_BATCH``, so
-    the work is linear in the number of pairs.  Returns the mean of the batch
-    means.
+    false.  The work is ``batch_size`` dot products per vector; a batch is
+    joined in chunks of ``CHUNK`` members, so it need not fit one task.
+    Returns the mean of the batch means.
     """
-    if not 1 <= batch_size <= MAX_BATCH:
-        raise ValueError(f"batch_size must be in [1, {MAX_BATCH}]")
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
     d = with_position(df.select(*order, a, b), order, "_pos")
     d = d.select(F.floor(F.col("_pos") / batch_size).alias("_b"), F.col("_pos"),
                  l2_normalize(a).alias("_ha"), l2_normalize(b).alias("_hb"))
     members = d.select("_b", F.col("_pos").alias("_mp"), F.lit(0).alias("_side"), F.col("_ha").alias("_hm")) \
         .unionByName(d.select("_b", F.col("_pos").alias("_mp"), F.lit(1).alias("_side"), F.col("_hb").alias("_hm")))
-    j = d.join(members, "_b")
+    # A task joins one chunk of a batch's members with one chunk of its anchors.
+    chunks = -(-batch_size // CHUNK)
+    chunk = (F.col("_pos") % batch_size / CHUNK).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    left = d.withColumn("_ca", chunk).select("*", every.alias("_cm"))
+    right = members.withColumn("_cm", (F.col("_mp") % batch_size / CHUNK).cast("int")).select("*", every.alias("_ca"))
+    j = left.join(right, ["_b", "_ca", "_cm"])
     if not include_self:
         j = j.filter(~((F.col("_mp") == F.col("_pos")) & (F.col("_side") == 0)))
     den = j.groupBy("_b", "_pos").agg(F.sum(F.exp(dot("_ha", "_hm") / tau)).alias("_den"))

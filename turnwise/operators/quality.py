@@ -67,9 +67,9 @@ def violations(df: DataFrame, conv: str = CONV, seg: str = SEG, turn: str = TURN
         b, c = rest.split("{t}")
         return F.concat(F.lit(a), cs, F.lit(b), ts, F.lit(c))
 
-    v1 = d.filter(has & changed & ~(F.col(shift) == 1)).select(conv, turn, text(VIOLATION_CHANGED).alias("violation"))
-    v2 = d.filter(has & ~changed & (F.col(shift) == 1)).select(conv, turn, text(VIOLATION_UNCHANGED).alias("violation"))
-    return v1.unionByName(v2)
+    marked = F.coalesce(F.col(shift) == 1, F.lit(False))
+    what = F.when(changed & (F.col(shift) != 1), text(VIOLATION_CHANGED)).when(~changed & marked, text(VIOLATION_UNCHANGED))
+    return d.filter(has).select(conv, turn, what.alias("violation")).filter(F.col("violation").isNotNull())
 
 
 def turn_gaps(df: DataFrame, conv: str = CONV, turn: str = TURN) -> DataFrame:

@@ -178,23 +178,17 @@ def single_turn_ratio(stats: DataFrame, out: str = "single_turn_ratio") -> DataF
 
 
 def with_history(df: DataFrame, scope: str = "segment", out: str = "history",
-                 conv: str = CONV, seg: str = SEG, turn: str = TURN,
-                 max_rows: int | None = None) -> DataFrame:
+                 conv: str = CONV, seg: str = SEG, turn: str = TURN) -> DataFrame:
     """Earlier messages (turn id strictly lower) joined by a space.
 
     ``scope='segment'`` is the reference (history restarts at each segment, so an
     empty history reveals a shift); ``scope='conversation'`` does not leak.
-    The history text grows with the square of the segment length; ``max_rows``
-    bounds the frame to the latest ``max_rows`` turns (default: unbounded).
+    The history text grows with the square of the segment length.
     """
     part = [conv, seg] if scope == "segment" else [conv]
     if scope not in ("segment", "conversation"):
         raise ValueError("scope must be 'segment' or 'conversation'")
-    w = Window.partitionBy(*part).orderBy(F.col(turn))
-    if max_rows is None:
-        w = w.rangeBetween(Window.unboundedPreceding, -1)
-    else:
-        w = w.rowsBetween(-max_rows, -1)
+    w = Window.partitionBy(*part).orderBy(F.col(turn)).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.concat_ws(" ", F.collect_list("message").over(w)))
 
 

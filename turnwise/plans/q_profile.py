@@ -138,4 +138,5 @@ def a10_class_weights(spark, sf_dir):
 @register("a11_max_of", sql(["event_turns"], """
     SELECT max(conversation_id) AS max_conversation_id FROM event_turns"""))
 def a11_max_of(spark, sf_dir):
-    return profile.max_of(fx.event_turns(spark, sf_dir), "conversation_id")
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("conversation_id"))
+    return profile.max_of(users, "conversation_id")

@@ -61,7 +61,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         conf = tempfile.mkdtemp(prefix="turnwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

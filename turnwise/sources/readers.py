@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import EOU, VALID_USERS, strip
-from ..plans.positions import dense_rank_of
+from ..plans.positions import dense_rank_of, with_position
 from ..plans.scan import with_running_sum
 
 CONV, TURN = "conversation_id", "turn_id"
@@ -91,8 +91,9 @@ def explode_delimited(df: DataFrame, line_col: str = "value", order: str = "line
     msgs = F.filter(F.transform(F.split(F.col(line_col), "\\Q" + sep + "\\E"), lambda m: strip(m)),
                     lambda m: m != "")
     d = df.select(F.col(order).alias("_ord"), msgs.alias("_m")).filter(F.size("_m") > 0)
-    ids = dense_rank_of(d, ["_ord"], ["_ord"], "Chat_ID", base=1)
-    d = d.join(ids, "_ord")
+    # The rows themselves are numbered and written once: the order key is made while reading, so
+    # a join back on it would miss rows if the file were split differently the second time.
+    d = with_position(d, ["_ord"], "_pos").withColumn("Chat_ID", F.col("_pos") + 1)
     d = d.select("Chat_ID", F.posexplode("_m").alias("Count", "Messages"))
     return d.select("Chat_ID", F.col("Count").cast("long").alias("Count"),
                     F.when(F.col("Count") % 2 == 0, "agent_1").otherwise("agent_2").alias("Agents"),
@@ -105,18 +106,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = EOU) -> DataFrame:
 
 
 def read_turns_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                   index_cols: Sequence[str] = ("Unnamed: 0", "_c0", "")) -> DataFrame:
-    """S3: CSV with a header (quoted fields may span lines); saved-index columns dropped."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                   index_cols: Sequence[str] = ("Unnamed: 0", "_c0", ""), multi_line: bool = True) -> DataFrame:
+    """S3: CSV with a header; saved-index columns dropped.
+
+    With ``multi_line`` quoted fields may span lines, and a file is one task; without, files are split.
+    """
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
     df = r.csv(path)
     return df.drop(*[c for c in index_cols if c in df.columns])
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Headerless tab-separated file with the given schema."""
-    return spark.read.option("sep", "\t").option("header", False).option("multiLine", True) \
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
+    """Headerless tab-separated file with the given schema; ``multi_line`` as for S3."""
+    return spark.read.option("sep", "\t").option("header", False).option("multiLine", multi_line) \
         .option("escape", '"').schema(schema).csv(path)
 
 
