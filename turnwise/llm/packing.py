@@ -49,11 +49,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                ids += end
-                for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc, k, s, n, crc_ids(ids[4 * s:4 * (s + n)])))
+            rows, texts, at = [], b.column("text"), b.column("doc_id").to_pylist()
+            for i in range(0, len(at), 500):  # few texts and ids at a time are Python objects
+                for doc, ids in zip(at[i:i + 500], enc.encode(texts.slice(i, 500).to_pylist())):
+                    ids += end
+                    for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        rows.append((doc, k, s, n, crc_ids(ids[4 * s:4 * (s + n)])))
             cols = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],

@@ -78,7 +78,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in batches:
-            counts = [len(ids) // 4 for ids in enc.encode(b.column("norm").to_pylist())]
+            texts = b.column("norm")
+            counts = [len(ids) // 4 for i in range(0, len(texts), 500) for ids in enc.encode(texts.slice(i, 500).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(counts, pa.int64())], ["content", "n_tokens"])
         enc.rest()
 
