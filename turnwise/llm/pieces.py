@@ -37,7 +37,7 @@ class PieceEncoder:
     ids put together, since both tokenizers always split there.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -101,7 +101,7 @@ class PieceEncoder:
             extra.update(got)
             self.memo.extra = extra
 
-    def rest(self, keep: int = 300_000) -> None:
+    def rest(self, keep: int = 100_000) -> None:
         """Forget all but the first pieces learned (the frequent ones) when a task ends, so that
         idle workers stay small."""
         if len(self.memo) > keep:
