@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -135,6 +136,49 @@ def test_fuzzy_lines(spark, docs, texts, odd, none):
     assert fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def similar_pairs(keys):
+    """All pairs of normalised lines with an edit similarity of at least 0.8, whatever their signatures."""
+    size = np.array([len(k) for k in keys])
+    chars = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
+    counts = np.zeros((len(keys), len(chars)), np.int16)
+    for i, k in enumerate(keys):
+        np.add.at(counts[i], [chars[c] for c in k], 1)
+    some = []
+    for i in range(len(keys)):
+        near = np.flatnonzero(np.abs(counts[:i] - counts[i]).sum(1) <= 2 * (np.maximum(size[:i], size[i]) // 5))  # an edit moves two counts at most
+        some += [(keys[i], keys[j], int(max(size[i], size[j])) // 5) for j in near]
+    con = duckdb.connect()
+    con.register("maybe", pa.table(dict(zip("abm", map(list, zip(*some))))))
+    return con.sql("SELECT a, b FROM maybe WHERE levenshtein(a, b) <= m").fetchall()
+
+
+def test_fuzzy_lines_beyond_the_radius(spark, texts):
+    """Each distinct normalised line as a document: similar lines are found without regard to signatures."""
+    norm = lambda s: re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", s.lower()).strip(" ")
+    keys = {norm(x) for _, t in texts for x in t.split("\n")} - {""}
+    base = "seven small boats left harbour early today under grey skies".split()
+    keys |= {" ".join(base[:i] + ["zebra"] + base[i + 1:]) for i in range(len(base))} | {"la ja", "la ra", "hello", "hallo", "good morning", "god mornings"}
+    keys = sorted(keys)
+    pairs = similar_pairs(keys)
+    docs = spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")
+    rows = fuzzy_lines.distinct_rows(docs, "doc_id", "text")
+    distinct = fuzzy_lines.line_signatures(rows).groupBy("k1", "k2").agg(
+        fuzzy_lines.F.min(fuzzy_lines.F.struct("id", "pos", "th")).alias("first"))
+    links = spark.createDataFrame([], "a struct<k1:bigint,k2:bigint>, b struct<k1:bigint,k2:bigint>")
+    for given in (links, None):
+        if given is None:  # as the operator does it, after the signatures
+            want = unite(len(keys), [(keys.index(a), keys.index(b)) for a, b in pairs])
+            got = fuzzy_lines.dedup_lines(docs, shingles=True).where("n_removed = 0").count()
+            assert got == len(set(want)) and fuzzy_lines.dedup_lines(docs).where("n_removed = 0").count() > got
+            continue
+        found = fuzzy_lines.shingled_links(rows, distinct, given, 0.8, 200_000)
+        place = {tuple(r["k"]): r["first"]["id"] for r in distinct.selectExpr("struct(k1, k2) AS k", "first").collect()}
+        root = unite(len(keys), [(place[tuple(r["a"])], place[tuple(r["b"])]) for r in found.collect()])
+        recall = np.mean([root[keys.index(a)] == root[keys.index(b)] for a, b in pairs])
+        print("pairs", len(pairs), "recall", recall)
+        assert recall > 0.97
+
+
 def test_decontamination(spark, docs, odd, none):
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet")
     for t in ("documents", "benchmark"):

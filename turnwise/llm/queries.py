@@ -38,7 +38,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+    return fuzzy_lines.dedup_lines(documents(spark, sf_dir), shingles=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
