@@ -195,3 +195,18 @@ def test_decontamination(spark, docs, odd, none):
     assert decontaminate.remove(odd, items).count() == odd.count() - 2
     assert decontaminate.find(none, items).count() == 0
     assert decontaminate.find(odd, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_one_row_per_group_with_null_and_repeated_ids(spark):
+    one, two, three = "red boats sail past the old pier at dawn", "nine goats climb over a steep and stony hill", "my uncle plays the horn in a brass band"
+    rows = [(None, one, "a"), (None, one, "b"), (None, two, "a"), (5, two, "a"), (5, three, "b"), (5, three, "a"), (3, one, "z"), (7, three, "c")]
+    rows += [(None, "a text alone without any number at all", "a"), (None, "a second text alone, quite unlike the others here", "a")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3, 3)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, one, "z"), (5, two, "a"), (5, three, "a"), *rows[-2:]], key=str)
+
+
+def test_removal_by_id_and_text(spark):
+    items = spark.createDataFrame([(1, "planted words")], "item_id long, text string")
+    rows = [(None, "a clean text"), (None, "some planted words"), (4, "planted words again"), (4, "another clean text"), (6, None)]
+    kept = decontaminate.remove(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)

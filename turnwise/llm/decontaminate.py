@@ -74,8 +74,9 @@ def window_hits(rows: DataFrame, windows: DataFrame, max_set: int) -> tuple[Data
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id", item_text_col: str = "text", max_set: int = 50_000) -> DataFrame:
-    """Per row of ``docs``: ``id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+         item_col: str = "item_id", item_text_col: str = "text", max_set: int = 50_000, hashed: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``id, n_words, n_hit, n_items, items_sha256, contaminated``, and the
+    text's hash ``th`` with ``hashed``."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), words_of(F.col(text_col)).alias("words"))
     windows = stored(item_windows(items, window, item_col, item_text_col), "windows")
     counted, hits = window_hits(rows, windows, max_set)
@@ -93,11 +94,12 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc
     return joined.select(F.col("d.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                          F.size(items_of).cast("long").alias("n_items"),
                          F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
-                         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+                         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *([F.col("d.th").alias("th")] if hashed else []))
 
 
 def remove(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of any item."""
-    bad = find(docs, items, window, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    bad = stored(bad, "bad")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    # Rows may share an id, also a null one: the text's hash tells them apart.
+    bad = find(docs, items, window, id_col, text_col, hashed=True).where("contaminated")
+    bad = stored(bad.select(F.col(id_col).alias("_bad"), F.col("th").alias("_th")).distinct(), "bad")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")

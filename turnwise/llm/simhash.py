@@ -50,14 +50,14 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and the signed 64-bit fingerprint ``fp``."""
+    """``id``, the text's hash ``th`` and the signed 64-bit fingerprint ``fp``."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp)], ["id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "id long, th long, fp long")
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -145,9 +145,8 @@ def near_links(fps: DataFrame, radius: int, cell: int = 2048) -> DataFrame:
     return rows.mapInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``id, fingerprint (16 hex digits), component_id`` for every row of ``docs``."""
+def grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written ``(id, th, fp)`` of every row, and ``(fp, root, component_id)`` of every fingerprint."""
     rows = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     links = stored(near_links(fps.select("fp"), radius).distinct(), "links")
@@ -155,16 +154,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
                .withColumn("root", F.coalesce("root", "fp"))
     least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    of_fp = stored(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "of-fp")
+    of_fp = stored(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "of-fp")
     discard(fps, links, least)
+    return rows, of_fp
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``id, fingerprint (16 hex digits), component_id`` for every row of ``docs``."""
+    rows, of_fp = grouped(docs, words, radius, id_col, text_col)
     return rows.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is its component's; rows with a null id stay."""
-    found = near_duplicates(docs, words, radius)
-    drop = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(drop, "doc_id", "left_anti")
-
-
+    """One row of ``docs`` of each component: the first by ``doc_id`` (null last), the text's hash,
+    and then by all columns."""
+    rows, of_fp = grouped(docs, words, radius, "doc_id", "text")
+    first = rows.join(of_fp, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("f"))
+    first = stored(first.select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th")), "first-of-each")
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    kept = docs.join(first, key, "left_semi")
+    # Rows that share id and text; only theirs are gathered.
+    again = kept.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).agg(F.count("*").alias("_n"))
+    again = stored(again.where("_n > 1").select("_id", "_th"), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    rest = kept.join(again, key, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_th"))
+    rest = rest.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.join(again, key, "left_anti").union(rest)
