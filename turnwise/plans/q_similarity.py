@@ -101,12 +101,23 @@ def _emb_msg(spark, sf_dir):
     return e.join(t, ["conversation_id", "turn_id"])
 
 
+def _all_emb_msg(spark, sf_dir):
+    """Every turn; the embedding is null where there is none."""
+    e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")
+    t = fx.turns(spark, sf_dir).select("conversation_id", "turn_id", "message")
+    return t.join(e, ["conversation_id", "turn_id"], "left")
+
+
+_ALL_EMB_MSG = """
+    em AS (SELECT t.conversation_id, t.turn_id, e.embedding, t.message
+           FROM turns t LEFT JOIN emb_turns e USING (conversation_id, turn_id))"""
+
 _EMB_MSG = """
     em AS (SELECT e.conversation_id, e.turn_id, e.embedding, t.message
            FROM emb_turns e JOIN turns t USING (conversation_id, turn_id))"""
 
 
-def _x8_sql(mark: str) -> str:
+def _x8_sql(mark: str, em: str = _EMB_MSG) -> str:
     scores = f"""
       SELECT conversation_id, turn_id,
              CASE WHEN lead(turn_id) OVER ({_W}) IS NULL THEN NULL
@@ -123,7 +134,7 @@ def _x8_sql(mark: str) -> str:
                    coalesce(lag({lab}) OVER ({_W}), 0) AS weak_shift,
                    round(lag(s) OVER ({_W}), 6) AS similarity, round(lag(k) OVER ({_W}), 6) AS keyword
                    FROM ({scores})"""
-    return sql(["emb_turns", "turns"], body, _EMB_MSG)
+    return sql(["emb_turns", "turns"], body, em)
 
 
 @register("x8_weak_label", _x8_sql("before"))
@@ -141,6 +152,21 @@ def x8_weak_label_opening(spark, sf_dir):
                     r6("keyword").alias("keyword"))
 
 
+@register("x8_weak_label_all", _x8_sql("before", _ALL_EMB_MSG))
+def x8_weak_label_all(spark, sf_dir):
+    """Every turn is labelled and meets its true neighbour; without a vector the similarity is null."""
+    d = sim.weak_label(_all_emb_msg(spark, sf_dir), stopwords=STOPWORDS)
+    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
+                    r6("keyword").alias("keyword"))
+
+
+@register("x8_weak_label_opening_all", _x8_sql("opening", _ALL_EMB_MSG))
+def x8_weak_label_opening_all(spark, sf_dir):
+    d = sim.weak_label(_all_emb_msg(spark, sf_dir), stopwords=STOPWORDS, mark="opening")
+    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
+                    r6("keyword").alias("keyword"))
+
+
 @register("x9_l2_normalize", sql([], f"""
     SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u0,
            round(CAST(embedding[64] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u63,
