@@ -159,3 +159,13 @@ def test_pipeline(spark, docs):
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
     from turnwise.llm import decontaminate
     assert decontaminate.find(last, spark.read.parquet(f"{SF001}/benchmark.parquet")).where("contaminated").count() == 0
+
+
+def test_pipeline_language_stage_reads_pages(spark, docs, monkeypatch):
+    import corpus_pipeline as P
+    from turnwise.llm import language, queries
+    seen, identify = [], language.identify
+    monkeypatch.setattr(language, "identify", lambda d, pages=None: seen.append(pages) or identify(d, pages))
+    kept = {r["doc_id"] for r in P.language_id(spark, docs, SF001).select("doc_id").collect()}
+    assert seen[0] is not None and "html" in seen[0].columns
+    assert kept == {r["doc_id"] for r in queries.op2_language_id(spark, SF001).where("NOT rejected").collect()}

@@ -161,7 +161,7 @@ def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return fuse(rows).select("doc_id", "th", "declared", "lang_id", "confidence", "rejected")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is rejected."""
-    bad = stored(identify(docs).where("rejected").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "rejected")
+def keep_known(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the documents whose language ``identify`` rejects."""
+    bad = stored(identify(docs, pages).where("rejected").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "rejected")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
