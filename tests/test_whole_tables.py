@@ -20,3 +20,10 @@ def test_weak_labels_of_every_turn(spark, tmp_path):
         got = {(r["conversation_id"], r["turn_id"]): (r["weak_shift"], r["similarity"]) for r in E.queries()[name](spark, str(tmp_path)).collect()}
         assert set(got) == {(c, t) for c, t, *_ in turns}
         assert got[0, shift] == (1, 0.0) and all(v == (0, None) for k, v in got.items() if k != (0, shift))
+
+
+def test_every_component_of_vectors_of_any_length(spark, tmp_path):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, E.queries()["x9_l2_normalize_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, 0.6), (1, 1, 0.8), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 1.0)]

@@ -180,6 +180,18 @@ def x9_l2_normalize(spark, sf_dir):
                     r6(norm("unit")).alias("unit_norm"))
 
 
+@register("x9_l2_normalize_all", sql([], f"""
+    SELECT vec_id, i - 1 AS i, round(u[i], 6) AS value
+    FROM (SELECT vec_id, u, unnest(range(1, len(u) + 1)) AS i
+          FROM (SELECT vec_id, list_transform(embedding, lambda z:
+                       CAST(z AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12)) AS u FROM embeddings))"""))
+def x9_l2_normalize_all(spark, sf_dir):
+    """Every component of every vector, of whatever length."""
+    e = sim.normalized_vectors(fx.table(spark, sf_dir, "embeddings"), "embedding", "unit")
+    e = e.select("vec_id", F.posexplode("unit").alias("i", "value"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), r6("value").alias("value"))
+
+
 @register("x10_pair_distance", sql(["emb_turns"], f"""
     SELECT conversation_id, turn_id,
            round(1.0 - {dot('u', 'nu')}, 6) AS cosine_distance,
