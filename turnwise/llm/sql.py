@@ -24,3 +24,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+# CRC-32 of a decimal number: bytes, then eight shifts a byte.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split({0}::VARCHAR, '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos, k, n
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {_CRC.format("conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (
+  SELECT c.conv_id, o.pos, 0 AS own, o.k, o.n FROM c JOIN o ON o.conv_id = c.base AND o.pos < c.h
+  UNION ALL SELECT o.conv_id, o.pos, 1, o.k, o.n FROM o JOIN c USING (conv_id) WHERE o.pos >= c.h),
+p AS (
+  SELECT c.conv_id, coalesce(list(r.k ORDER BY own, pos) FILTER (r.k IS NOT NULL), []) AS ks, coalesce(list(r.n ORDER BY own, pos) FILTER (r.k IS NOT NULL), []) AS ns
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (
+  SELECT conv_id, d, array_to_string(ks[1:d], '') AS node, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS size, len(ks) = d AS ends
+  FROM (SELECT conv_id, ks, ns, unnest(range(0, len(ks) + 1)) AS d FROM p)),
+n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY node, d),
+k AS (SELECT node[1:32 * (d - 1)] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+t AS (
+  SELECT node[1:32 * a] AS node, sum(saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM (SELECT node, saved, n_children, unnest(range(0, d + 1)) AS a FROM n LEFT JOIN k USING (node)) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, t.n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN t USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON n.d > 0 AND u.node = n.node[1:32 * (n.d - 1)]
+"""
