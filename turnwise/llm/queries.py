@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_lines, katz, language, nearest, orc_ids, packing, prefix_table, prefix_trie, quality, simhash, token_counts
+from . import decontaminate, fuzzy_lines, katz, language, nearest, orc_ids, packing, prefix_table, prefix_trie, quality, ranked_search, simhash, token_counts
 from .common import crc_mod, documents, reachable
 from .pieces import vocabulary
 from .sql import ORACLE
@@ -57,6 +57,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(documents(spark, sf_dir), divisor=7, fold=2)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 def op12_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_table.digests(prefix_table.encode_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")))
 
@@ -68,6 +72,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_language_id, op3_nearest, op4_quality, op5_simhash, op6_fuzzy_lines,
-                            op7_decontaminate, op8_packing, op9_orc_ids, op10_katz, op12_prefix_table, op13_prefix_trie)}
+                            op7_decontaminate, op8_packing, op9_orc_ids, op10_katz, op11_ranked_search, op12_prefix_table, op13_prefix_trie)}
 
 __all__ = ["ORACLE", "QUERIES"]

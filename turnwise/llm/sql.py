@@ -57,3 +57,21 @@ SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce
   CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM n JOIN t USING (node) LEFT JOIN k USING (node) LEFT JOIN n u ON n.d > 0 AND u.node = n.node[1:32 * (n.d - 1)]
 """
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+ORACLE["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+x AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, s),
+a AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+f AS (
+  SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM a JOIN x USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM f WHERE score > 0) WHERE rank <= 20
+"""
