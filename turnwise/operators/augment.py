@@ -11,29 +11,29 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import portable_hash
 from ..plans.positions import dense_rank_of, with_group_rank, with_position
-from ..plans.scan import with_running_sum
+from ..plans.scan import BLOCK, ordered_scan
 from .ids import attach_scalar
+from .segment import keep
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
-MAX_PICK = 6  # longest prefix a sample takes from a segment (choice of 2, 4 or 6)
+LENGTHS = (2, 4, 6)  # fixed values: how many turns a sample asks a segment for
 
 
 def _segments(df: DataFrame) -> DataFrame:
     """(conv, seg, seg_len, seg_index, n_seg): segments in first-appearance order."""
     s = df.groupBy(CONV, SEG).agg(F.count(F.lit(1)).alias("seg_len"), F.min(TURN).alias("_first"))
-    s = with_running_sum(s, [CONV], "_first", F.lit(1), "seg_index")
-    n = s.groupBy(CONV).agg(F.count(F.lit(1)).alias("n_seg"))
-    return s.join(n, CONV).withColumn("seg_index", F.col("seg_index") - 1).drop("_first")
+    s = ordered_scan(s, [CONV], "_first", sums={"seg_index": F.lit(1)}, totals={"n_seg": F.lit(1)})
+    return s.withColumn("seg_index", F.col("seg_index") - 1).drop("_first")
 
 
-def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42) -> DataFrame:
+def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42, lengths: tuple = LENGTHS) -> DataFrame:
     """G1: synthetic conversations made of one segment of each of two conversations.
 
     ``per_conversation * C`` samples are drawn (C = number of conversations),
     so the output grows with the input.  Sample ``i`` picks conversation ranks
     ``a = h(i,'a') % C`` and ``b = (a + 1 + h(i,'b') % (C-1)) % C`` (always
-    different), a segment of each (``h(i,'sa') % n_seg``), and a length 2, 4 or
-    6 for each (``h(i,'la')``).  A sample is dropped when either segment has
+    different), a segment of each (``h(i,'sa') % n_seg``), and one of ``lengths``
+    for each (``h(i,'la')``).  A sample is dropped when either segment has
     fewer than 2 turns; an odd segment loses its last turn; each part keeps its
     first ``min(length, even part)`` turns.  Segments become 0 and 1, the first
     turn of the second gets ``topic_shift = 1``, turn ids run 1..n, and new
@@ -50,10 +50,12 @@ def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42) -> DataFram
     ra = h("a") % F.col("_C")
     samples = samples.withColumn("_ra", ra).withColumn(
         "_rb", (F.col("_ra") + 1 + h("b") % F.greatest(F.col("_C") - 1, F.lit(1))) % F.col("_C"))
-    samples = samples.withColumn("_la", 2 * (1 + h("la") % 3)).withColumn("_lb", 2 * (1 + h("lb") % 3)) \
+    asked = lambda tag: F.get(F.array(*[F.lit(x) for x in lengths]), (h(tag) % len(lengths)).cast("int"))
+    samples = samples.withColumn("_la", asked("la")).withColumn("_lb", asked("lb")) \
                      .withColumn("_ha", h("sa")).withColumn("_hb", h("sb"))
-    segs = _segments(df).join(convs, CONV)
-    conv_info = segs.select(CONV, "_crank", "n_seg").dropDuplicates([CONV])
+    segs = _segments(df)
+    first = segs.where("seg_index = 0").select(CONV, "n_seg")  # one row per conversation
+    conv_info = convs.join(first, CONV)
 
     def pick(j, tag):
         # conversation rank -> (conversation, number of segments): unique key
@@ -73,9 +75,9 @@ def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42) -> DataFram
                          ["sample"], "_k")
     kept = attach_scalar(kept, maxid).withColumn("new_id", F.col("_maxid") + 1 + F.col("_k"))
 
-    # the first MAX_PICK turns of every segment, with their rank in the segment
-    head = with_running_sum(df.select(CONV, SEG, TURN, "message", "topic_shift"), [CONV, SEG],
-                            TURN, F.lit(1), "_rank").filter(F.col("_rank") <= MAX_PICK)
+    # no sample asks for more turns of a segment than the largest length
+    head = ordered_scan(keep(df, CONV, SEG, TURN, "message", "topic_shift"), [CONV, SEG],
+                        TURN, sums={"_rank": F.lit(1)}).filter(F.col("_rank") <= max(lengths))
     pa = kept.select("new_id", F.col("_conva").alias(CONV), F.col("_sega").alias(SEG), "_ka") \
         .join(head, [CONV, SEG]).filter(F.col("_rank") <= F.col("_ka")) \
         .select("new_id", F.lit(0).cast("long").alias("_s"), F.col("_rank").alias("_t"),
@@ -95,7 +97,7 @@ def stitch(df: DataFrame, per_conversation: int = 1, seed: int = 42) -> DataFram
 
 def augment(df: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Append synthetic rows (union by name)."""
-    return df.unionByName(synthetic, allowMissingColumns=True)
+    return df.drop(BLOCK).unionByName(synthetic, allowMissingColumns=True)
 
 
 def sample_per_class(df: DataFrame, label: str, n: int, key: list[str], seed: int = 42) -> DataFrame:

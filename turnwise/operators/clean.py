@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label, normalize_text, turn_count
-from ..plans.scan import with_running_sum
+from ..plans.scan import ordered_scan, with_running_sum
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
 
@@ -48,9 +48,7 @@ def subset(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def _with_counts(df: DataFrame, conv: str, turn: str) -> DataFrame:
-    n = df.groupBy(conv).agg(F.count(F.lit(1)).alias("_tw_n"))
-    d = with_running_sum(df, [conv], turn, F.lit(1), "_tw_rank")
-    return d.join(n, conv)
+    return ordered_scan(df, [conv], turn, sums={"_tw_rank": F.lit(1)}, totals={"_tw_n": F.lit(1)})
 
 
 def drop_trailing(df: DataFrame, k: int = 2, conv: str = CONV, turn: str = TURN) -> DataFrame:
@@ -66,11 +64,10 @@ def cap_turns(df: DataFrame, n: int = 20, conv: str = CONV, turn: str = TURN) ->
 
 
 def drop_busy(df: DataFrame, max_shifts: int = 5, conv: str = CONV,
-              shift: str = "topic_shift") -> DataFrame:
+              shift: str = "topic_shift", turn: str = TURN) -> DataFrame:
     """Remove conversations with more than ``max_shifts`` shifts."""
-    s = df.groupBy(conv).agg(F.sum(F.col(shift).cast("long")).alias("_tw_s"))
-    keep = s.filter(F.coalesce(F.col("_tw_s"), F.lit(0)) <= max_shifts).select(conv)
-    return df.join(keep, conv, "left_semi")
+    d = ordered_scan(df, [conv], turn, totals={"_tw_s": F.col(shift)})
+    return d.filter(F.col("_tw_s") <= max_shifts).drop("_tw_s")
 
 
 def assign_speakers(df: DataFrame, turn: str = TURN, out: str = "agent") -> DataFrame:
@@ -89,7 +86,7 @@ def reset_first_turn(df: DataFrame, first: str = "turn_id_zero", conv: str = CON
         is_first = F.col(turn) == 0
         d = df
     elif first == "first_row":
-        d = df.join(df.groupBy(conv).agg(F.min(turn).alias("_tw_t0")), conv)
+        d = ordered_scan(df, [conv], turn, group_min={"_tw_t0": F.col(turn)})
         is_first = F.col(turn) == F.col("_tw_t0")
     else:
         raise ValueError("first must be 'turn_id_zero' or 'first_row'")

@@ -14,21 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scan import BLOCK, hand_back
+
 CONV = "conversation_id"
 
 
 def keep_steady(df: DataFrame, stats: DataFrame, max_ratio: float = 0.7,
-                ratio: str = "single_turn_ratio", conv: str = CONV) -> DataFrame:
-    """Keep the turns of conversations whose single-turn ratio is <= ``max_ratio``."""
-    keep = stats.filter(F.col(ratio) <= max_ratio).select(conv)
-    return df.join(keep, conv, "left_semi")
+                ratio: str = "single_turn_ratio", conv: str = CONV, turn: str = "turn_id") -> DataFrame:
+    """Keep the turns of conversations whose single-turn ratio is <= ``max_ratio``.
+
+    The verdict on a conversation reaches its turns block by block (``hand_back``).
+    """
+    keep = stats.filter(F.col(ratio) <= max_ratio).select(conv, F.lit(True).alias("_tw_keep"))
+    return hand_back(df, [conv], turn, keep, ["_tw_keep"]).where("_tw_keep").drop("_tw_keep")
 
 
 def stack(dfs: Sequence[DataFrame]) -> DataFrame:
     """Outer union by column name; a column missing from a table is null."""
-    out = dfs[0]
+    out = dfs[0].drop(BLOCK)  # blocks of one table are not those of the stack
     for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
+        out = out.unionByName(d.drop(BLOCK), allowMissingColumns=True)
     return out
 
 
@@ -44,11 +49,3 @@ def reconcile_turns(expected: DataFrame, parsed: DataFrame, conv: str = CONV,
     j = e.join(p, conv, "full_outer")
     return j.withColumn("differs", (~F.col(expected_col).eqNullSafe(F.col(parsed_col))).cast("int"))
 
-
-def lookup(df: DataFrame, mapping: DataFrame, key: Sequence[str], value: str,
-           out: str | None = None) -> DataFrame:
-    """Replace ``key`` by the mapped ``value`` (inner equi-join on a unique key)."""
-    d = df.join(mapping, list(key), "inner")
-    if out:
-        d = d.withColumnRenamed(value, out)
-    return d

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.positions import with_position
-from ..plans.scan import block_rows_for
+from ..plans.scan import ordered_scan
 from .ids import attach_scalar
-from .segment import boundaries, with_turn_position
+from .segment import boundaries, keep
 
 CONV, TURN = "conversation_id", "turn_id"
 
@@ -94,22 +94,15 @@ def sequence_boundaries(df: DataFrame, true_col: str, pred_col: str, scope: str
         d = boundaries(d, [true_col, pred_col], ["tb", "pb"], "global", conv, turn, pos="pos")
         return d.select("pos", "tb", "pb")
     if scope == "conversation":
-        d = with_turn_position(d, conv, turn, "pos")
-        d = boundaries(d, [true_col, pred_col], ["tb", "pb"], "conversation", conv, turn)
-        return d.select(conv, "pos", "tb", "pb")
+        labels = [true_col, pred_col]
+        d = ordered_scan(keep(df, conv, turn, *labels), [conv], turn, prev=labels, sums={"pos": F.lit(1)}, totals={"n": F.lit(1)})
+        flags = [F.when(F.col("prev_" + c) != F.col(c), 1).otherwise(0).cast("int").alias(o) for c, o in zip(labels, ("tb", "pb"))]
+        return d.select(conv, (F.col("pos") - 1).alias("pos"), *flags, "n")
     raise ValueError("scope must be 'global' or 'conversation'")
 
 
 def _parts(seq: DataFrame) -> list[str]:
-    return [c for c in seq.columns if c not in ("pos", "tb", "pb")]
-
-
-def _lengths(seq: DataFrame, part: list[str]) -> DataFrame:
-    return seq.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _with_n(d: DataFrame, n: DataFrame, part: list[str]) -> DataFrame:
-    return d.join(n, part) if part else attach_scalar(d, n)
+    return [c for c in seq.columns if c not in ("pos", "tb", "pb", "n")]
 
 
 def window_size(seq: DataFrame) -> DataFrame:
@@ -119,27 +112,66 @@ def window_size(seq: DataFrame) -> DataFrame:
                                                (2 * F.sum("tb")).cast("double")).alias("window_size"))
 
 
-def window_errors(seq: DataFrame, k: int = 2) -> DataFrame:
-    """Pk (M9) and WindowDiff (M10) errors over windows ``[i, i+k)``, ``i < n - k``.
+# Scores are sums over three kinds of rows: positions, windows that a boundary touches, and true
+# boundaries with their distance.  They are put under each other and grouped once.
+_ROW = {"n": "long", "tb": "int", "pb": "int", "pk": "int", "wd": "int", "dist": "long"}
 
-    Returns ``(part..., n, pk_errors, wd_errors, pk, window_diff)``; the scores
-    are null when ``n <= k``.
-    """
+
+def _rows(d: DataFrame, part: list[str], **given) -> DataFrame:
+    return d.select(*part, *[(given[c] if c in given else F.lit(None if c == "dist" else 0)).cast(t).alias(c) for c, t in _ROW.items()])
+
+
+def _window_rows(seq: DataFrame, k: int) -> DataFrame:
+    """Windows ``[i, i+k)``, ``i < n - k``, that hold a boundary, and whether they disagree."""
     part = _parts(seq)
-    n = _lengths(seq, part)
-    b = _with_n(seq.filter((F.col("tb") == 1) | (F.col("pb") == 1)), n, part)
+    b = seq.filter((F.col("tb") == 1) | (F.col("pb") == 1))
+    if "n" not in seq.columns:
+        b = attach_scalar(b, seq.agg(F.count(F.lit(1)).alias("n"))) if not part else \
+            ordered_scan(seq, part, "pos", totals={"n": F.lit(1)}).filter((F.col("tb") == 1) | (F.col("pb") == 1))
     lo = F.greatest(F.col("pos") - k + 1, F.lit(0))
     hi = F.least(F.col("pos"), F.col("n") - k - 1)
     w = b.filter(lo <= hi).select(*part, F.explode(F.sequence(lo, hi)).alias("i"), "tb", "pb")
     c = w.groupBy(*part, "i").agg(F.sum("tb").alias("tc"), F.sum("pb").alias("pc"))
-    e = c.groupBy(*part).agg(F.count_if((F.col("tc") > 0) != (F.col("pc") > 0)).alias("pk_errors"),
-                             F.count_if(F.col("tc") != F.col("pc")).alias("wd_errors"))
-    r = n.join(e, part, "left") if part else attach_scalar(n, e)
-    r = r.withColumn("pk_errors", F.coalesce("pk_errors", F.lit(0))) \
-         .withColumn("wd_errors", F.coalesce("wd_errors", F.lit(0)))
+    return _rows(c, part, pk=(F.col("tc") > 0) != (F.col("pc") > 0), wd=F.col("tc") != F.col("pc"))
+
+
+def _distance_rows(seq: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """True boundaries and their distance to the nearest predicted one, an as-of lookup in blocks."""
+    part = _parts(seq)
+    b = seq.filter((F.col("tb") == 1) | (F.col("pb") == 1)).select(*part, "pos", "tb", "pb")
+    at = F.when(F.col("pb") == 1, F.col("pos"))
+    d = ordered_scan(b, part, "pos", last={"_before": at}, coming={"_after": at}, block_rows=block_rows).where("tb = 1")
+    return _rows(d, part, dist=F.least(F.col("pos") - F.col("_before"), F.col("_after") - F.col("pos")))
+
+
+def _scores(seq: DataFrame, *more: DataFrame) -> DataFrame:
+    part = _parts(seq)
+    rows = _rows(seq, part, n=F.lit(1), tb=F.col("tb"), pb=F.col("pb"))
+    for m in more:
+        rows = rows.unionByName(m)
+    zero = F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum(c), zero).alias(o) for c, o in (("n", "n"), ("tb", "n_true"), ("pb", "n_pred"), ("pk", "pk_errors"), ("wd", "wd_errors"))]
+    return rows.groupBy(*part).agg(*sums, F.avg("dist").alias("_mae"))
+
+
+def _pk(k: int) -> list:
     den = F.col("n") - k
-    return r.withColumn("pk", F.when(den > 0, F.col("pk_errors") / den)) \
-            .withColumn("window_diff", F.when(den > 0, F.col("wd_errors") / den))
+    return [F.when(den > 0, F.col("pk_errors") / den), F.when(den > 0, F.col("wd_errors") / den)]
+
+
+def _mae():
+    none = (F.col("n_true") == 0) | (F.col("n_pred") == 0)
+    return F.when(none, (F.col("n_true") + F.col("n_pred")).cast("double")).otherwise(F.col("_mae"))
+
+
+def window_errors(seq: DataFrame, k: int = 2) -> DataFrame:
+    """Pk (M9) and WindowDiff (M10) errors over windows ``[i, i+k)``, ``i < n - k``.
+
+    Returns ``(part..., n, pk_errors, wd_errors, pk, window_diff)``; the scores
+    are null when ``n <= k``.
+    """
+    pk, wd = _pk(k)
+    return _scores(seq, _window_rows(seq, k)).select(*_parts(seq), "n", "pk_errors", "wd_errors", pk.alias("pk"), wd.alias("window_diff"))
 
 
 def boundary_mae(seq: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -149,43 +181,12 @@ def boundary_mae(seq: DataFrame, block_rows: int | None = None) -> DataFrame:
     on both sides.  The nearest predicted boundary before and after each
     position is an as-of lookup done in blocks of ``block_rows`` positions.
     """
-    part = _parts(seq)
-    b = seq.filter((F.col("tb") == 1) | (F.col("pb") == 1)) \
-           .withColumn("_blk", F.floor(F.col("pos") / block_rows_for(seq, block_rows)).cast("long"))
-    keys = part + ["_blk"]
-    pp = F.when(F.col("pb") == 1, F.col("pos"))
-    wl = Window.partitionBy(*keys).orderBy("pos")
-    b = b.withColumn("_lp", F.max(pp).over(wl.rowsBetween(Window.unboundedPreceding, 0))) \
-         .withColumn("_ln", F.min(pp).over(wl.rowsBetween(0, Window.unboundedFollowing)))
-    blk = b.groupBy(*keys).agg(F.max(pp).alias("_bmax"), F.min(pp).alias("_bmin"))
-    wb = (Window.partitionBy(*part) if part else Window).orderBy("_blk")
-    blk = blk.select(*keys, F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-                     F.min("_bmin").over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
-    b = b.join(blk, keys, "left")
-    prev = F.coalesce(F.col("_lp"), F.col("_cp"))
-    nxt = F.coalesce(F.col("_ln"), F.col("_cn"))
-    dist = F.least(F.col("pos") - prev, nxt - F.col("pos"))
-    b = b.withColumn("_d", F.when(F.col("tb") == 1, dist))
-    g = b.groupBy(*part) if part else b
-    a = g.agg(F.count_if(F.col("tb") == 1).alias("n_true"), F.count_if(F.col("pb") == 1).alias("n_pred"),
-              F.avg("_d").alias("_mae"))
-    mae = F.when((F.col("n_true") == 0) | (F.col("n_pred") == 0),
-                 (F.col("n_true") + F.col("n_pred")).cast("double")).otherwise(F.col("_mae"))
-    a = a.withColumn("mae", mae).drop("_mae")
-    if part:
-        # sequences with no boundary at all: MAE 0 (0 + 0)
-        allp = _lengths(seq, part).select(*part)
-        a = allp.join(a, part, "left").select(
-            *part, F.coalesce("n_true", F.lit(0)).alias("n_true"),
-            F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("mae", F.lit(0.0)).alias("mae"))
-    return a
+    return _scores(seq, _distance_rows(seq, block_rows)).select(*_parts(seq), "n_true", "n_pred", _mae().alias("mae"))
 
 
 def segmentation_report(df: DataFrame, true_col: str, pred_col: str, k: int = 2,
                         scope: str = "global") -> DataFrame:
     """Pk, WindowDiff and MAE in one row (one row per conversation for that scope)."""
     seq = sequence_boundaries(df, true_col, pred_col, scope)
-    we = window_errors(seq, k).select(*_parts(seq), F.col("pk").alias("Pk"), F.col("window_diff").alias("WD"))
-    m = boundary_mae(seq).select(*_parts(seq), F.col("mae").alias("MAE"))
-    part = _parts(seq)
-    return we.join(m, part) if part else attach_scalar(we, m)
+    pk, wd = _pk(k)
+    return _scores(seq, _window_rows(seq, k), _distance_rows(seq)).select(*_parts(seq), pk.alias("Pk"), wd.alias("WD"), _mae().alias("MAE"))

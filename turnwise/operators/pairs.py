@@ -1,34 +1,39 @@
-"""Contrastive training pairs (J5-J9), as per-anchor pair specifications.
+"""Contrastive training pairs (J5-J9): partner counts and drawn pairs.
 
-The reference emits every pair of turns of a segment (positives) and every
-cross-segment pair of a conversation (negatives).  That output grows with the
-square of a conversation's length; emitting it would put all pairs of a hot
-conversation into one task.  Here each family is described *exactly* and in
-linear size: one row per anchor turn with the rule that selects its partners
-and their number.
+Every turn is an anchor with a set of partners in its conversation:
 
 ==========================  ==========================================================
 family                      partners of anchor ``a`` (same conversation)
 ==========================  ==========================================================
 ``coherence_positive`` J5   same segment, later position (``turn_id > a.turn_id``)
-``coherence_negative`` J6   segments that appear first *after* a's segment
+``coherence_negative`` J6   turns of segments that appear first *after* a's segment
 ``shift_positive``     J7   same segment, message text different from a's
 ``shift_negative``     J8   ``turn_id > a.turn_id`` and ``topic_shift = 1``
 ==========================  ==========================================================
 
-Counts are computed with aggregates and skew-safe running sums; nothing is
-paired row by row.  ``n_pairs`` summed over J5 and J6 is ``L(L-1)/2`` per
-conversation.
+All pairs grow with the square of a conversation's length.  Here the partners of an anchor are
+ranks ``0 .. n_pairs - 1`` of an order in which they follow each other, so that their number needs
+no pairing, and ``per_anchor`` of them are drawn as ranks: a seeded permutation of the ranks,
+evaluated at ``0, 1, ...`` (:func:`permuted`), gives distinct partners without listing any.  One
+equi-join on (conversation, segment, place) fetches their messages.  ``per_anchor`` at least
+``n_pairs`` gives every pair.
+
+Counts and places come from block-wise scans; no join or window is keyed by a conversation alone.
+Turns whose message is null are no J7 partners and have none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import with_running_sum
+from ..functions.hashing import portable_hash
+from ..plans.positions import with_group_rank
+from ..plans.scan import hand_back, ordered_scan
+from .segment import keep
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
+ROUNDS = 8  # of the permutation
 
 # Family names and the partner rule of each family.
 RULES = {
@@ -37,20 +42,25 @@ RULES = {
     "shift_positive": "same segment, different message",
     "shift_negative": "later turn with topic_shift = 1",
 }
+LABELS = {"coherence_positive": "positive", "coherence_negative": "negative",
+          "shift_positive": "positive", "shift_negative": "negative"}
 
 
-def _finish(d: DataFrame, family: str) -> DataFrame:
-    return d.select(CONV, SEG, TURN, F.lit(family).alias("family"),
-                    F.lit(RULES[family]).alias("rule"), F.col("n_pairs").cast("long").alias("n_pairs"))
+def permuted(i: Column, n: Column, key: list[Column], rounds: int = ROUNDS) -> Column:
+    """The value at ``i`` of a seeded permutation of ``0 .. n - 1``, for any ``n``.
 
+    A rotation, then rounds of swap-or-not: in each, ``x`` and ``k - x`` (mod ``n``) change places
+    or stay, by a bit that both of them see.
+    """
+    n = n.cast("long")
+    start = (i.cast("long") + portable_hash(*key, F.lit("start")) % n) % n
 
-def coherence_positive(df: DataFrame) -> DataFrame:
-    """Per anchor, the number of later turns in its segment."""
-    base = df.select(CONV, SEG, TURN)
-    r = with_running_sum(base, [CONV, SEG], TURN, F.lit(1), "_r")
-    n = base.groupBy(CONV, SEG).agg(F.count(F.lit(1)).alias("_len"))
-    d = r.join(n, [CONV, SEG]).withColumn("n_pairs", F.col("_len") - F.col("_r"))
-    return _finish(d, "coherence_positive")
+    def swap(x, r):
+        other = F.pmod(portable_hash(*key, r, F.lit("k")) - x, n)
+        bit = portable_hash(*key, r, F.greatest(x, other)) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, swap)
 
 
 def segment_order(df: DataFrame) -> DataFrame:
@@ -61,34 +71,100 @@ def segment_order(df: DataFrame) -> DataFrame:
     before it.
     """
     s = df.groupBy(CONV, SEG).agg(F.min(TURN).alias("first_turn"), F.count(F.lit(1)).alias("seg_len"))
-    s = with_running_sum(s, [CONV], "first_turn", F.col("seg_len"), "cum_len")
-    tot = s.groupBy(CONV).agg(F.sum("seg_len").alias("conv_len"))
-    return s.join(tot, CONV)
+    return ordered_scan(s, [CONV], "first_turn", sums={"cum_len": "seg_len"}, totals={"conv_len": "seg_len"})
+
+
+# An anchor table has ``n_pairs`` and ``_base``: its partner of rank r stands at place ``_base + r``
+# (J7: plus the places of its own message, if it is not before them).  A place table has the places
+# of the partners, by ``keys``.
+
+def _coherence_positive(df: DataFrame, message: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    base = keep(df, CONV, SEG, TURN, *([message] if message else []))
+    d = ordered_scan(base, [CONV, SEG], TURN, sums={"_r": F.lit(1)}, totals={"_len": F.lit(1)})
+    d = d.withColumn("n_pairs", F.col("_len") - F.col("_r")).withColumn("_base", F.col("_r")).withColumn("_place", F.col("_r") - 1)
+    return d, d, [CONV, SEG]
+
+
+def _coherence_negative(df: DataFrame, message: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    base = keep(df, CONV, SEG, TURN, *([message] if message else []))
+    s = segment_order(df).select(CONV, SEG, (F.col("conv_len") - F.col("cum_len")).alias("n_pairs"), F.col("cum_len").alias("_base"),
+                                 (F.col("cum_len") - F.col("seg_len")).alias("_before"))
+    if not message:
+        return hand_back(base, [CONV, SEG], TURN, s, ["n_pairs"]), base, [CONV]
+    d = ordered_scan(base, [CONV, SEG], TURN, sums={"_r": F.lit(1)})
+    d = hand_back(d, [CONV, SEG], TURN, s, ["n_pairs", "_base", "_before"]).withColumn("_place", F.col("_before") + F.col("_r") - 1)
+    return d, d, [CONV]
+
+
+def _shift_positive(df: DataFrame, message: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    said = with_group_rank(df.where(F.col(message).isNotNull()).select(CONV, SEG, TURN, message), [CONV, SEG], [F.col(message), F.col(TURN)], "_place")
+    d = ordered_scan(said, [CONV, SEG], "_place", prev=[message], nxt=[message], totals={"_len": F.lit(1)}, prev_prefix="_p_", next_prefix="_n_")
+    first = F.when(~F.col(message).eqNullSafe(F.col("_p_" + message)), F.col("_place"))
+    final = F.when(~F.col(message).eqNullSafe(F.col("_n_" + message)), F.col("_place"))
+    d = ordered_scan(d, [CONV, SEG], "_place", last={"_lo": first}, coming={"_hi": final})
+    d = d.withColumn("_same", F.col("_hi") - F.col("_lo") + 1).withColumn("n_pairs", F.col("_len") - F.col("_same")).withColumn("_base", F.lit(0).cast("long"))
+    return d, d, [CONV, SEG]
+
+
+def _shift_negative(df: DataFrame, message: str | None, shift: str = "topic_shift") -> tuple[DataFrame, DataFrame, list[str]]:
+    base = keep(df, CONV, SEG, TURN, F.when(F.col(shift) == 1, 1).otherwise(0).alias("_s"), *([message] if message else []))
+    d = ordered_scan(base, [CONV], TURN, sums={"_run": "_s"}, totals={"_tot": "_s"})
+    d = d.withColumn("n_pairs", F.col("_tot") - F.col("_run")).withColumn("_base", F.col("_run"))
+    return d, d.where("_s = 1").withColumn("_place", F.col("_run") - 1), [CONV]
+
+
+def _finish(d: DataFrame, family: str) -> DataFrame:
+    return d.select(CONV, SEG, TURN, F.lit(family).alias("family"),
+                    F.lit(RULES[family]).alias("rule"), F.col("n_pairs").cast("long").alias("n_pairs"))
+
+
+def coherence_positive(df: DataFrame) -> DataFrame:
+    """Per anchor, the number of later turns in its segment."""
+    return _finish(_coherence_positive(df, None)[0], "coherence_positive")
 
 
 def coherence_negative(df: DataFrame) -> DataFrame:
     """Per anchor, the number of turns in segments first seen after its segment."""
-    s = segment_order(df).select(CONV, SEG, (F.col("conv_len") - F.col("cum_len")).alias("n_pairs"))
-    d = df.select(CONV, SEG, TURN).join(s, [CONV, SEG])
-    return _finish(d, "coherence_negative")
+    return _finish(_coherence_negative(df, None)[0], "coherence_negative")
 
 
 def shift_positive(df: DataFrame, message: str = "message") -> DataFrame:
     """Per anchor, the other turns of its segment whose text differs from the anchor's."""
-    base = df.select(CONV, SEG, TURN, message)
-    n = base.groupBy(CONV, SEG).agg(F.count(F.lit(1)).alias("_len"))
-    same = base.groupBy(CONV, SEG, message).agg(F.count(F.lit(1)).alias("_same"))
-    d = base.join(n, [CONV, SEG]).join(same, [CONV, SEG, message])
-    return _finish(d.withColumn("n_pairs", F.col("_len") - F.col("_same")), "shift_positive")
+    d = _shift_positive(df, message)[0].select(CONV, SEG, TURN, "n_pairs")
+    silent = df.where(F.col(message).isNull()).select(CONV, SEG, TURN, F.lit(0).cast("long").alias("n_pairs"))
+    return _finish(d.unionByName(silent), "shift_positive")
 
 
 def shift_negative(df: DataFrame, shift: str = "topic_shift") -> DataFrame:
     """Per anchor, the later turns of its conversation that open a shift."""
-    base = df.select(CONV, SEG, TURN, F.when(F.col(shift) == 1, 1).otherwise(0).alias("_s"))
-    r = with_running_sum(base, [CONV], TURN, F.col("_s"), "_run")
-    tot = base.groupBy(CONV).agg(F.sum("_s").alias("_tot"))
-    d = r.join(tot, CONV).withColumn("n_pairs", F.col("_tot") - F.col("_run"))
-    return _finish(d, "shift_negative")
+    return _finish(_shift_negative(df, None, shift)[0], "shift_negative")
+
+
+def drawn_pairs(df: DataFrame, family: str, per_anchor: int, seed: int = 42, message: str = "message") -> DataFrame:
+    """``min(per_anchor, n_pairs)`` distinct partners of every anchor, with both messages.
+
+    Returns ``conversation_id, sub_conversation_id, turn_id, draw, partner_turn_id, message1, message2,
+    family, label``, one row per pair.
+    """
+    made = {"coherence_positive": _coherence_positive, "coherence_negative": _coherence_negative,
+            "shift_positive": _shift_positive, "shift_negative": _shift_negative}[family]
+    anchors, places, keys = made(df, message)
+    own = ["_lo", "_same"] if family == "shift_positive" else []
+    a = anchors.where("n_pairs > 0").select(CONV, SEG, TURN, F.col(message).alias("message1"), "n_pairs", "_base", *own,
+                                            F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_anchor).cast("long"), "n_pairs") - 1)).alias("draw"))
+    rank = permuted(F.col("draw"), F.col("n_pairs"), [F.lit(str(seed)), F.lit(family), F.col(CONV), F.col(SEG), F.col(TURN)])
+    a = a.withColumn("_place", F.col("_base") + rank)
+    if own:  # the run of the anchor's own message is left out of the ranks
+        a = a.withColumn("_place", F.when(F.col("_place") >= F.col("_lo"), F.col("_place") + F.col("_same")).otherwise(F.col("_place")))
+    b = places.select(*keys, "_place", F.col(TURN).alias("partner_turn_id"), F.col(message).alias("message2"))
+    return a.join(b, [*keys, "_place"]).select(CONV, SEG, TURN, "draw", "partner_turn_id", "message1", "message2",
+                                               F.lit(family).alias("family"), F.lit(LABELS[family]).alias("label"))
+
+
+def contrastive_pairs(df: DataFrame, kind: str, per_anchor: int, seed: int = 42, message: str = "message") -> DataFrame:
+    """J9 over drawn pairs: the positives and negatives of ``kind`` (``coherence`` or ``shift``)."""
+    return drawn_pairs(df, f"{kind}_positive", per_anchor, seed, message) \
+        .unionByName(drawn_pairs(df, f"{kind}_negative", per_anchor, seed, message))
 
 
 def label_pairs(positive: DataFrame, negative: DataFrame) -> DataFrame:
@@ -98,8 +174,13 @@ def label_pairs(positive: DataFrame, negative: DataFrame) -> DataFrame:
 
 
 def coherence_pairs(df: DataFrame) -> DataFrame:
-    """J5 + J6 labelled."""
-    return label_pairs(coherence_positive(df), coherence_negative(df))
+    """J5 + J6 labelled (J9), from one pass over the turns and one over the segments."""
+    s = segment_order(df).select(CONV, SEG, (F.col("conv_len") - F.col("cum_len")).alias("_neg"), "seg_len")
+    d = ordered_scan(keep(df, CONV, SEG, TURN), [CONV, SEG], TURN, sums={"_r": F.lit(1)})
+    d = hand_back(d, [CONV, SEG], TURN, s, ["_neg", "seg_len"])
+    each = [F.struct(F.lit(f).alias("family"), F.lit(RULES[f]).alias("rule"), n.cast("long").alias("n_pairs"), F.lit(LABELS[f]).alias("label"))
+            for f, n in (("coherence_positive", F.col("seg_len") - F.col("_r")), ("coherence_negative", F.col("_neg")))]
+    return d.select(CONV, SEG, TURN, F.inline(F.array(*each)))
 
 
 def shift_aware_pairs(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import with_next, with_prev, with_running_sum
-from .segment import change_flag
+from ..plans.scan import ordered_scan, with_prev
+from .segment import change_flag, keep
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
 
@@ -25,8 +25,7 @@ def non_alternating(df: DataFrame, stride: int = 2, agent: str = "agent",
     segment only; ``stride=1`` compares every neighbouring pair.
     Returns the distinct ``(conversation, segment)`` with a repeat.
     """
-    d = with_running_sum(df.select(conv, seg, turn, agent), [conv, seg], turn, F.lit(1), "_r")
-    d = with_next(d, [conv, seg], turn, [agent], prefix="_n_")
+    d = ordered_scan(keep(df, conv, seg, turn, agent), [conv, seg], turn, nxt=[agent], sums={"_r": F.lit(1)}, next_prefix="_n_")
     bad = d.filter(((F.col("_r") - 1) % stride == 0) & F.col("_n_" + agent).isNotNull()
                    & (F.col(agent) == F.col("_n_" + agent)))
     return bad.select(conv, seg).distinct()
@@ -57,7 +56,7 @@ def repair_labels(df: DataFrame, scope: str = "conversation", seg: str = SEG,
 def violations(df: DataFrame, conv: str = CONV, seg: str = SEG, turn: str = TURN,
                shift: str = "topic_shift") -> DataFrame:
     """Q4: one row per faulty turn, from the second turn of each conversation on."""
-    d = with_prev(df.select(conv, seg, turn, shift), [conv], turn, [seg, turn], prefix="_p_")
+    d = with_prev(keep(df, conv, seg, turn, shift), [conv], turn, [seg, turn], prefix="_p_")
     has = F.col("_p_" + turn).isNotNull()
     changed = ~F.col(seg).eqNullSafe(F.col("_p_" + seg))
     cs, ts = F.col(conv).cast("string"), F.col(turn).cast("string")

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import truncate_tokens
+from ..functions.text import truncate_tokens, whitespace_tokens
 from ..plans.positions import with_position
-from ..plans.scan import _BLK, block_of, with_prev, with_running_sum
+from ..plans.scan import BLOCK, LAID_ORDER, block_of, ordered_scan, with_prev
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
 
@@ -38,8 +38,9 @@ def segment_by_key(df: DataFrame, key: str = "knowledge_source", conv: str = CON
     """
     k = key_out or key
     d = df.withColumn(k, _key_string(df, key))
-    keys = [conv, _BLK]
-    d = d.withColumn(_BLK, block_of(d, turn, block_rows))
+    keys = [conv, BLOCK]
+    if not (BLOCK in d.columns and turn == LAID_ORDER and block_rows is None):
+        d = d.withColumn(BLOCK, block_of(d, turn, block_rows))
     w = Window.partitionBy(*keys).orderBy(turn)
     first = F.row_number().over(w) == 1
     inner = F.when(first, 0).when(~F.col(k).eqNullSafe(F.lag(k).over(w)), 1).otherwise(0)
@@ -48,7 +49,7 @@ def segment_by_key(df: DataFrame, key: str = "knowledge_source", conv: str = CON
     edge = d.groupBy(*keys).agg(F.min_by(F.struct(F.col(k).alias("v")), F.col(turn)).alias("_fk"),
                                 F.max_by(F.struct(F.col(k).alias("v")), F.col(turn)).alias("_lk"),
                                 F.sum("_tw_chg").alias("_in"))
-    wb = Window.partitionBy(conv).orderBy(_BLK)
+    wb = Window.partitionBy(conv).orderBy(BLOCK)
     prev_last = F.lag("_lk").over(wb)
     first_chg = F.when(prev_last.isNull(), 1) \
                  .when(~F.col("_fk.v").eqNullSafe(prev_last["v"]), 1).otherwise(0)
@@ -58,7 +59,10 @@ def segment_by_key(df: DataFrame, key: str = "knowledge_source", conv: str = CON
     d = d.join(edge, keys, "left")
     shift = F.when(F.col("_tw_first"), F.col("_fc")).otherwise(F.col("_tw_chg")).cast("int")
     seg = (F.col("_off") + F.col("_fc") + F.col("_tw_run") - 1).cast("long")
-    out = [c for c in d.columns if c not in (_BLK, "_tw_first", "_tw_chg", "_tw_run", "_fc", "_off")]
+    # The block column stays: later scans of the same ordering need no exchange of the rows.
+    out = [c for c in d.columns if c not in ("_tw_first", "_tw_chg", "_tw_run", "_fc", "_off")]
+    if turn != LAID_ORDER or block_rows is not None:
+        out.remove(BLOCK)
     return d.select(*out, shift.alias("topic_shift"), seg.alias(SEG))
 
 
@@ -121,20 +125,25 @@ def boundary_positions(df: DataFrame, flag: str, pos: str) -> DataFrame:
 def with_turn_position(df: DataFrame, conv: str = CONV, turn: str = TURN,
                        out: str = "pos") -> DataFrame:
     """0-based position of each turn inside its conversation."""
-    d = with_running_sum(df, [conv], turn, F.lit(1), out)
+    d = ordered_scan(df, [conv], turn, sums={out: F.lit(1)})
     return d.withColumn(out, F.col(out) - 1)
 
 
+def keep(df: DataFrame, *cols) -> DataFrame:
+    """``df.select(*cols)`` that does not lose the block column of a laid out table."""
+    return df.select(*cols, *([BLOCK] if BLOCK in df.columns else []))
+
+
 def _shift_runs(df: DataFrame, conv: str, turn: str, shift: str) -> DataFrame:
-    """Runs that start at a shift: ``(conv, run, run_len)`` with run = 1, 2, ...
+    """Runs that start at a shift: ``(conv, run, all_runs, run_len)`` with run = 1, 2, ..., all_runs.
 
     Every turn belongs to the run of the last shift at or before it (run 0:
     turns before the first shift).  The gap between shift ``k`` and shift
     ``k+1``, in turn positions, is the length of run ``k``.
     """
     s = F.when(F.col(shift) == 1, 1).otherwise(0)
-    d = with_running_sum(df.select(conv, turn, s.alias("_s")), [conv], turn, F.col("_s"), "run")
-    return d.groupBy(conv, "run").agg(F.count(F.lit(1)).alias("run_len"))
+    d = ordered_scan(keep(df, conv, turn, s.alias("_s")), [conv], turn, sums={"run": "_s"}, totals={"all_runs": "_s"})
+    return d.groupBy(conv, "run", "all_runs").agg(F.count(F.lit(1)).alias("run_len"))
 
 
 def shift_gaps(df: DataFrame, conv: str = CONV, turn: str = TURN,
@@ -144,9 +153,7 @@ def shift_gaps(df: DataFrame, conv: str = CONV, turn: str = TURN,
     Long form ``(conversation_id, gap_index, turn_diff)``: a conversation's
     list of gaps is never collected into one row.
     """
-    runs = _shift_runs(df, conv, turn, shift)
-    last = runs.groupBy(conv).agg(F.max("run").alias("_last"))
-    g = runs.join(last, conv).filter((F.col("run") >= 1) & (F.col("run") < F.col("_last")))
+    g = _shift_runs(df, conv, turn, shift).filter((F.col("run") >= 1) & (F.col("run") < F.col("all_runs")))
     return g.select(conv, (F.col("run") - 1).cast("long").alias("gap_index"),
                     F.col("run_len").cast("long").alias("turn_diff"))
 
@@ -157,12 +164,9 @@ def shift_stats(df: DataFrame, conv: str = CONV, turn: str = TURN,
 
     Every conversation appears, also one without shifts.
     """
-    runs = _shift_runs(df, conv, turn, shift)
     # the last run has no following shift: it is not a gap
-    last = runs.groupBy(conv).agg(F.max("run").alias("_last"))
-    r = runs.join(last, conv)
-    gap = (F.col("run") >= 1) & (F.col("run") < F.col("_last"))
-    return r.groupBy(conv).agg(
+    gap = (F.col("run") >= 1) & (F.col("run") < F.col("all_runs"))
+    return _shift_runs(df, conv, turn, shift).groupBy(conv).agg(
         F.max("run").cast("long").alias("total_shifts"),
         F.count_if(gap & (F.col("run_len") == 1)).alias("single_turn_shifts"),
         F.count_if(gap & (F.col("run_len") > 1)).alias("multi_turn_shifts"),
@@ -170,10 +174,21 @@ def shift_stats(df: DataFrame, conv: str = CONV, turn: str = TURN,
 
 
 def single_turn_ratio(stats: DataFrame, out: str = "single_turn_ratio") -> DataFrame:
-    """Share of gaps equal to 1, half-even rounded to 3 digits; 0 when no gaps."""
-    r = F.when(F.col("len_turn_diffs") > 0,
-               F.bround(F.col("single_turn_shifts") / F.col("len_turn_diffs"), 3)) \
-         .otherwise(F.lit(0.0))
+    """Share of gaps equal to 1, rounded to 3 digits; 0 when no gaps.
+
+    Rounded as Python rounds the quotient: to the nearest thousandth of the binary number.  That is
+    decided on integer counts; only where the share is half-way between two thousandths does it
+    depend on whether the binary number lies above or below (0.7005 above, 0.0625 on the spot).
+    """
+    s, n = F.col("single_turn_shifts").cast("long"), F.col("len_turn_diffs").cast("long")
+    halves = F.expr("2000 * single_turn_shifts DIV len_turn_diffs")  # of a thousandth, whole ones
+    down = F.expr("1000 * single_turn_shifts DIV len_turn_diffs")
+    on_tie = (halves % 2 == 1) & (2000 * s == halves * n)
+    shift = F.when(halves < 4, F.lit(66)).otherwise(F.lit(62))  # so that the binary number becomes whole
+    binary = ((halves / F.lit(2000.0)) * F.pow(F.lit(2.0), shift)).cast("long").cast("decimal(19,0)") * F.lit(2000).cast("decimal(4,0)")
+    exact = halves.cast("decimal(10,0)") * F.pow(F.lit(2.0), shift - 6).cast("long").cast("decimal(19,0)") * F.lit(64).cast("decimal(2,0)")
+    up = F.when(on_tie, F.when(binary > exact, 1).when(binary < exact, 0).otherwise(down % 2)).otherwise(halves % 2)
+    r = F.when(n > 0, (down + up) / F.lit(1000.0)).otherwise(F.lit(0.0))
     return stats.withColumn(out, r.cast("double"))
 
 
@@ -214,37 +229,68 @@ def token_budget(df: DataFrame, col: str, n: int, side: str = "right",
     return df.withColumn(out or col, truncate_tokens(col, n, side))
 
 
-def budgeted_model_input(df: DataFrame, n_tokens: int, scope: str = "segment",
-                         out: str = "input_text", conv: str = CONV, seg: str = SEG,
-                         turn: str = TURN, message: str = "message") -> DataFrame:
-    """W7 + W8 + W10 in bounded size: the first ``n_tokens`` white-space tokens of
-    ``History: {h} New message: {m}``.
+def history_tokens(df: DataFrame, n: int, scope: str = "segment", side: str = "right", out: str = "history_tokens",
+                   conv: str = CONV, seg: str = SEG, turn: str = TURN, message: str = "message") -> DataFrame:
+    """W7 + W10 in bounded size: the first (``side='right'``) or last (``'left'``) ``n`` white-space
+    tokens of all earlier messages, as an array.
 
-    Equal to truncating the full model input, without building the quadratic
-    history: only messages whose first token lies within the first
-    ``n_tokens`` tokens of their segment (a running token offset, skew-safe)
-    can appear, so each segment contributes at most ``n_tokens`` head messages.
-    They are collected per segment (each cut to ``n_tokens`` tokens, so the
-    list holds at most ``n_tokens**2`` tokens) and joined back on the segment
-    key.
+    What a run of messages contributes to either is a list of at most ``n`` tokens, and two runs'
+    lists give the list of both.  Inside a block a row's list comes from a window that reaches over
+    ``n`` tokens, not over all messages; a block hands its own list on, and the lists of earlier
+    blocks reach the rows by (group, block).  No row holds more than ``2 n`` tokens at any time.
     """
-    from ..functions.text import whitespace_tokens
-    part = [conv, seg] if scope == "segment" else [conv]
     if scope not in ("segment", "conversation"):
         raise ValueError("scope must be 'segment' or 'conversation'")
-    d = df.withColumn("_tw_tok", whitespace_tokens(message)) \
-          .withColumn("_tw_nt", F.size("_tw_tok"))
-    d = with_running_sum(d, part, turn, "_tw_nt", "_tw_end")
-    start = F.col("_tw_end") - F.col("_tw_nt")
-    head = d.filter((start < n_tokens) & (F.col("_tw_nt") > 0)).groupBy(*part).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"),
-                                             F.slice("_tw_tok", 1, n_tokens).alias("k"))))
-        .alias("_tw_head"))
-    j = d.join(head, part, "left")
-    earlier = F.filter(F.coalesce(F.col("_tw_head"), F.array().cast(head.schema["_tw_head"].dataType)),
-                       lambda x: x["t"] < F.col(turn))
-    hist = F.flatten(F.transform(earlier, lambda x: x["k"]))
-    allt = F.concat(F.array(F.lit("History:")), F.slice(hist, 1, n_tokens),
-                    F.array(F.lit("New"), F.lit("message:")), F.col("_tw_tok"))
-    j = j.withColumn(out, F.array_join(F.slice(allt, 1, n_tokens), " "))
-    return j.drop("_tw_tok", "_tw_nt", "_tw_end", "_tw_head")
+    if side not in ("right", "left"):
+        raise ValueError("side must be 'right' or 'left'")
+    part = [conv, seg] if scope == "segment" else [conv]
+    laid = BLOCK in df.columns and turn == LAID_ORDER
+    b = BLOCK if laid else "_tw_hb"
+    tok = F.coalesce(whitespace_tokens(message), F.array().cast("array<string>"))
+    cut = (lambda c: F.slice(c, 1, n)) if side == "right" else (lambda c: F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(c))
+    none = F.array().cast("array<string>")
+    d = df if laid else df.withColumn(b, block_of(df, turn))
+    d = d.withColumn("_tw_tok", tok).withColumn("_tw_nt", F.size("_tw_tok").cast("long"))
+    if side == "right":
+        # Only messages that start among the first n tokens of the group can be seen later.
+        d = ordered_scan(d, part, turn, sums={"_tw_end": "_tw_nt"})
+        seen = (F.col("_tw_nt") > 0) & (F.col("_tw_end") - F.col("_tw_nt") < n)
+    else:
+        seen = F.col("_tw_nt") > 0
+    d = d.withColumn("_tw_piece", F.when(seen, cut(F.col("_tw_tok")))).drop("_tw_tok")
+    w, wb = Window.partitionBy(*part, b), Window.partitionBy(*part)
+    earlier = lambda win: win.rowsBetween(Window.unboundedPreceding, -1)
+    if side == "right":
+        d = d.withColumn("_tw_in", F.flatten(F.collect_list("_tw_piece").over(earlier(w.orderBy(turn)))))
+        mine = F.array_sort(F.collect_list(F.when(F.col("_tw_piece").isNotNull(), F.struct(F.col(turn).alias("t"), F.col("_tw_piece").alias("p")))))
+        blocks = d.groupBy(*part, b).agg(F.flatten(F.transform(mine, lambda x: x["p"])).alias("_tw_list"))
+        blocks = blocks.select(*part, b, F.flatten(F.collect_list("_tw_list").over(earlier(wb.orderBy(b)))).alias("_tw_before"))
+    else:
+        # After a row: the messages whose last token is among the last n so far.
+        d = d.withColumn("_tw_at", F.sum("_tw_nt").over(w.orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)))
+        d = d.withColumn("_tw_now", cut(F.flatten(F.collect_list("_tw_piece").over(w.orderBy("_tw_at").rangeBetween(-(n - 1), 0)))))
+        d = d.withColumn("_tw_in", F.coalesce(F.lag("_tw_now").over(w.orderBy(turn)), none))
+        blocks = d.groupBy(*part, b).agg(F.sum("_tw_nt").alias("_tw_total"), F.max_by("_tw_now", turn).alias("_tw_list"))
+        blocks = blocks.withColumn("_tw_list", F.when(F.col("_tw_total") > 0, F.col("_tw_list"))) \
+                       .withColumn("_tw_at", F.sum("_tw_total").over(wb.orderBy(b).rowsBetween(Window.unboundedPreceding, 0)))
+        blocks = blocks.withColumn("_tw_now", cut(F.flatten(F.collect_list("_tw_list").over(wb.orderBy("_tw_at").rangeBetween(-(n - 1), 0)))))
+        blocks = blocks.select(*part, b, F.coalesce(F.lag("_tw_now").over(wb.orderBy(b)), none).alias("_tw_before"))
+    d = d.join(blocks, [*part, b], "left")
+    both = cut(F.concat(F.coalesce("_tw_before", none), F.coalesce("_tw_in", none)))
+    return d.select(*df.columns, both.alias(out))
+
+
+def budgeted_model_input(df: DataFrame, n_tokens: int, scope: str = "segment", out: str = "input_text",
+                         conv: str = CONV, seg: str = SEG, turn: str = TURN, message: str = "message",
+                         side: str = "right") -> DataFrame:
+    """W7 + W8 + W10 in bounded size: ``n_tokens`` white-space tokens of
+    ``History: {h} New message: {m}``.
+
+    ``side='right'`` keeps the first tokens, as a right-truncating tokenizer does; ``'left'`` keeps
+    the last ones: the new message and the newest history, oldest history dropped first.  Equal to
+    truncating the full model input, without building the quadratic history.
+    """
+    d = history_tokens(df, n_tokens, scope, side, "_tw_hist", conv, seg, turn, message)
+    words = F.concat(F.array(F.lit("History:")), F.col("_tw_hist"), F.array(F.lit("New"), F.lit("message:")), whitespace_tokens(message))
+    kept = F.slice(words, 1, n_tokens) if side == "right" else F.when(F.size(words) > n_tokens, F.slice(words, -n_tokens, n_tokens)).otherwise(words)
+    return d.withColumn(out, F.array_join(kept, " ")).drop("_tw_hist")

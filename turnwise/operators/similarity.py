@@ -1,21 +1,22 @@
 """Text and vector similarity between turns (TF-IDF, embeddings, keyword overlap).
 
 TF-IDF is kept in long form ``(conversation_id, turn_id, term, weight)``; the
-cosine of two turns is a join on the shared terms, so only overlapping terms
-are ever paired, and a conversation's vocabulary is spread over tasks by
-``(conversation_id, term)``.
+cosine of two turns sums over the shared terms, so only overlapping terms
+are ever paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, tokens
 from ..functions.vectors import cosine, l2_normalize, pair_distance
-from ..plans.scan import with_next, with_prev
+from ..plans.scan import BLOCK, block_of, ordered_scan, with_next, with_prev
+from .ids import attach_scalar
+from .segment import keep
 
 CONV, TURN = "conversation_id", "turn_id"
 
@@ -29,26 +30,38 @@ def tfidf(df: DataFrame, message: str = "message", conv: str = CONV, turn: str =
     conversation (the reference); ``'global'`` fits one over the whole table.
     Returns ``(conv, turn, term, tf, weight)``.
     """
-    grp = [conv] if scope == "conversation" else []
+    return _weights(df, message, conv, turn, scope, normalize)[0].select(conv, turn, "term", "tf", "weight")
+
+
+def _weights(df: DataFrame, message: str, conv: str, turn: str, scope: str = "conversation", normalize: bool = True,
+             neighbours: bool = False) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF rows, and the turns they come from; with the neighbours' turn ids if asked for.
+
+    A term's frequency reaches its rows by (group, block, term), so that a word that stands in
+    every turn is spread like the turns are.  Blocks are of a conversation's turns, or, where the
+    group is the whole table, by a hash of the turn.
+    """
     if scope not in ("conversation", "global"):
         raise ValueError("scope must be 'conversation' or 'global'")
-    text = normalize_text(message) if normalize else F.col(message)
-    toks = df.select(conv, turn, F.explode(tokens(text)).alias("term"))
-    tf = toks.groupBy(conv, turn, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy(*grp, "term").agg(F.count(F.lit(1)).alias("df"))
+    rows, grp = keep(df, conv, turn, message), [conv] if scope == "conversation" else []
+    near = [turn] if neighbours else []
     if grp:
-        ndocs = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("n_docs"))
-        w = tf.join(dfreq, grp + ["term"]).join(ndocs, grp)
+        rows = ordered_scan(rows, [conv], turn, prev=near, nxt=near, totals={"n_docs": F.lit(1)})
+        b = BLOCK if BLOCK in rows.columns else "_tw_tb"
+        rows = rows if b == BLOCK else rows.withColumn(b, block_of(rows, turn))
     else:
-        ndocs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-        w = tf.join(dfreq, ["term"]).crossJoin(F.broadcast(ndocs))  # one-row side
+        b = "_tw_tb"
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = attach_scalar(rows, df.agg(F.count(F.lit(1)).alias("n_docs"))).withColumn(b, F.pmod(F.xxhash64(conv, turn), F.lit(spread)))
+    ids = [conv, b, turn, "n_docs", *[p + turn for p in ("prev_", "next_") if neighbours]]
+    text = normalize_text(message) if normalize else F.col(message)
+    tf = rows.select(*ids, F.explode(tokens(text)).alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    here = tf.groupBy(*grp, b, "term").agg(F.count(F.lit(1)).alias("_df"))
+    dfreq = here.select(*grp, b, "term", F.sum("_df").over(Window.partitionBy(*grp, "term")).alias("df"))
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    w = w.withColumn("raw", F.col("tf") * idf)
-    norms = w.groupBy(conv, turn).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("l2"))
-    w = w.join(norms, [conv, turn])
-    return w.select(conv, turn, "term", "tf",
-                    (F.col("raw") / F.when(F.col("l2") > 0, F.col("l2")).otherwise(F.lit(1.0)))
-                    .alias("weight"))
+    w = tf.join(dfreq, [*grp, b, "term"]).withColumn("raw", F.col("tf") * idf)
+    l2 = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(conv, b, turn)))  # one message's terms
+    return w.withColumn("weight", F.col("raw") / F.when(l2 > 0, l2).otherwise(F.lit(1.0))), rows
 
 
 def consecutive_tfidf(df: DataFrame, message: str = "message", conv: str = CONV,
@@ -56,18 +69,21 @@ def consecutive_tfidf(df: DataFrame, message: str = "message", conv: str = CONV,
     """Cosine of each turn's TF-IDF vector with the next turn's.
 
     One row per turn that has a next turn: ``(conv, turn, next_turn_id, out)``;
-    no shared term gives 0.
+    no shared term gives 0.  A weight goes to the two pairs its turn is in; a pair's rows meet by
+    (conversation, first turn), which no conversation makes hot.
     """
-    w = tfidf(df, message, conv, turn)
-    nxt = with_next(df.select(conv, turn), [conv], turn, [turn], prefix="next_") \
-        .filter(F.col("next_" + turn).isNotNull())
-    a = w.join(nxt, [conv, turn]).select(conv, turn, "next_" + turn, "term",
-                                         F.col("weight").alias("wa"))
-    b = w.select(conv, F.col(turn).alias("next_" + turn), "term", F.col("weight").alias("wb"))
-    s = a.join(b, [conv, "next_" + turn, "term"]).groupBy(conv, turn) \
-         .agg(F.sum(F.col("wa") * F.col("wb")).alias("_s"))
-    return nxt.join(s, [conv, turn], "left").select(
-        conv, turn, "next_" + turn, F.coalesce(F.col("_s"), F.lit(0.0)).alias(out))
+    w, rows = _weights(df, message, conv, turn, neighbours=True)
+    nxt, zero = "next_" + turn, F.lit(0.0)
+    first = F.struct(F.col(turn).alias("_first"), F.col(nxt).alias("_second"), F.col("weight").alias("_wa"), zero.alias("_wb"))
+    second = F.struct(F.col("prev_" + turn).alias("_first"), F.col(turn).alias("_second"), zero.alias("_wa"), F.col("weight").alias("_wb"))
+    in_pairs = F.array_compact(F.array(F.when(F.col(nxt).isNotNull(), first), F.when(F.col("prev_" + turn).isNotNull(), second)))
+    parts = w.select(conv, "term", F.inline(in_pairs))
+    pairs = rows.where(F.col(nxt).isNotNull()).select(conv, F.lit(None).cast("string").alias("term"), F.col(turn).alias("_first"),
+                                                      F.col(nxt).alias("_second"), zero.alias("_wa"), zero.alias("_wb"))
+    every = parts.unionByName(pairs).repartition(conv, "_first", "_second")
+    s = every.groupBy(conv, "_first", "_second", "term").agg((F.sum("_wa") * F.sum("_wb")).alias("_p")) \
+             .groupBy(conv, "_first", "_second").agg(F.sum("_p").alias(out))
+    return s.select(conv, F.col("_first").alias(turn), F.col("_second").alias(nxt), out)
 
 
 def shifts_below(sim: DataFrame, threshold: float = 0.1, col: str = "similarity") -> DataFrame:
@@ -80,7 +96,7 @@ def shift_pairs(df: DataFrame, flags: DataFrame, conv: str = CONV, turn: str = T
 
     ``flags`` holds ``(conv, turn)`` of the first turn of each flagged pair.
     """
-    d = with_next(df.select(conv, turn, "message"), [conv], turn, ["message"], prefix="next_")
+    d = with_next(keep(df, conv, turn, "message"), [conv], turn, ["message"], prefix="next_")
     return d.join(flags.select(conv, turn), [conv, turn], "left_semi") \
             .select(conv, turn, F.col("message").alias("message_1"),
                     F.col("next_message").alias("message_2"))
@@ -140,12 +156,11 @@ def weak_label(df: DataFrame, vec: str = "embedding", sim_threshold: float = 0.2
         return d
     if mark != "opening":
         raise ValueError("mark must be 'before' or 'opening'")
-    s = d.select(conv, turn, "weak_shift", "similarity", "keyword")
-    base = d.drop("weak_shift", "similarity", "keyword")
-    p = with_prev(s, [conv], turn, ["weak_shift", "similarity", "keyword"], prefix="_wp_")
-    p = p.select(conv, turn, F.coalesce("_wp_weak_shift", F.lit(0)).cast("int").alias("weak_shift"),
-                 F.col("_wp_similarity").alias("similarity"), F.col("_wp_keyword").alias("keyword"))
-    return base.join(p, [conv, turn])
+    scores = ["weak_shift", "similarity", "keyword"]
+    p = with_prev(d, [conv], turn, scores, prefix="_wp_")
+    return p.withColumn("weak_shift", F.coalesce("_wp_weak_shift", F.lit(0)).cast("int")) \
+            .withColumn("similarity", F.col("_wp_similarity")).withColumn("keyword", F.col("_wp_keyword")) \
+            .drop(*["_wp_" + c for c in scores])
 
 
 def normalized_vectors(df: DataFrame, vec: str = "embedding", out: str = "unit") -> DataFrame:

@@ -10,17 +10,21 @@ rounded to 6 digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scan import BLOCK
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        # The block column of laid out tables is not part of a result.
+        QUERIES[name] = wraps(fn)(lambda spark, sf_dir: fn(spark, sf_dir).drop(BLOCK))
         if oracle is not None:
             ORACLE[name] = oracle
         return fn

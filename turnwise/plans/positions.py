@@ -19,8 +19,8 @@ from ..session import cut_lineage
 
 
 def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "pos",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``out``: the 0-based position of each row in ``order``.
+                  num_partitions: int | None = None, part_out: str | None = None) -> DataFrame:
+    """Add ``out``: the 0-based position of each row in ``order`` (and ``part_out``: its range partition).
 
     ``order`` should be a total order (unique key); ties get an arbitrary but
     gap-free numbering.
@@ -45,8 +45,8 @@ def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "pos"
                                        .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_tw_off"))
     res = s.join(F.broadcast(offsets), "_tw_pid", "inner")
-    return res.withColumn(out, (F.col("_tw_off") + F.col("_tw_idx")).cast("long")) \
-              .drop("_tw_pid", "_tw_idx", "_tw_off")
+    res = res.withColumn(out, (F.col("_tw_off") + F.col("_tw_idx")).cast("long")).drop("_tw_idx", "_tw_off")
+    return res.withColumnRenamed("_tw_pid", part_out) if part_out else res.drop("_tw_pid")
 
 
 def dense_rank_of(df: DataFrame, key: Sequence[str], first: Sequence[Column | str],
@@ -70,12 +70,16 @@ def with_group_rank(df: DataFrame, part: Sequence[str], order: Sequence[Column |
     Skew-safe replacement for ``row_number() OVER (PARTITION BY part ORDER BY
     order)`` when ``order`` is not an integral position: rows get a global
     position (range-partitioned, so a huge group is spread over many tasks),
-    minus the first position of their group (a partial aggregate joined back on
-    the unique group key).
+    minus the first position of their group.  That one reaches the rows by
+    (group, range partition), never by the group alone.
     """
     part = list(part)
-    d = with_position(df, [F.col(c) for c in part] + list(order), "_tw_gpos")
-    first = d.groupBy(*part).agg(F.min("_tw_gpos").alias("_tw_g0"))
-    d = d.join(first, part, "inner")
-    return d.withColumn(out, (F.col("_tw_gpos") - F.col("_tw_g0") + F.lit(base)).cast("long")) \
-            .drop("_tw_gpos", "_tw_g0")
+    d = with_position(df, [F.col(c) for c in part] + list(order), "_tw_gpos", part_out="_tw_rp")
+    here = d.groupBy(*part, "_tw_rp").agg(F.min("_tw_gpos").alias("_tw_g0"))
+    first = here.select(*[F.col(c).alias(f"_tw_k{i}") for i, c in enumerate(part)], F.col("_tw_rp").alias("_tw_rq"),
+                        F.min("_tw_g0").over(Window.partitionBy(*part)).alias("_tw_g0"))
+    same = F.col("_tw_rp") == F.col("_tw_rq")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tw_k{i}"))
+    d = d.join(first, same).withColumn(out, (F.col("_tw_gpos") - F.col("_tw_g0") + F.lit(base)).cast("long"))
+    return d.drop("_tw_gpos", "_tw_g0", "_tw_rp", "_tw_rq", *[f"_tw_k{i}" for i in range(len(part))])

@@ -105,18 +105,6 @@ def q4_violations(spark, sf_dir):
     return quality.violations(p)
 
 
-@register("q5_turn_gaps", sql(["turns"], """
-    SELECT conversation_id, min(turn_id) AS min_turn, max(turn_id) AS max_turn, count(*) AS n_turns,
-           count(DISTINCT turn_id) AS n_distinct,
-           CASE WHEN min(turn_id) = 0 AND max(turn_id) = count(*) - 1
-                     AND count(DISTINCT turn_id) = count(*) THEN 1 ELSE 0 END AS continuous
-    FROM turns WHERE agent = 'assistant' GROUP BY conversation_id"""))
-def q5_turn_gaps(spark, sf_dir):
-    """Turn-id continuity of the assistant turns (P6 subset): every other id is missing."""
-    t = clean.subset(fx.turns(spark, sf_dir), F.col("agent") == "assistant")
-    return quality.turn_gaps(t)
-
-
 @register("q5_turn_gaps_all", sql(["turns"], """
     SELECT conversation_id, min(turn_id) AS min_turn, max(turn_id) AS max_turn, count(*) AS n_turns,
            count(DISTINCT turn_id) AS n_distinct,

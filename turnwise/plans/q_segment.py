@@ -16,7 +16,7 @@ _W = "PARTITION BY conversation_id ORDER BY turn_id"
     SELECT conversation_id, sub_conversation_id, turn_id, agent, message, knowledge_source, topic_shift
     FROM topic_turns"""))
 def w1_segment_by_key(spark, sf_dir):
-    return fx.topic_turns(spark, sf_dir).select(
+    return segment.segment_by_key(fx.keyed_turns(spark, sf_dir), "knowledge_source").select(
         "conversation_id", "sub_conversation_id", "turn_id", "agent", "message",
         "knowledge_source", "topic_shift")
 
@@ -26,7 +26,7 @@ def w1_segment_by_key(spark, sf_dir):
     FROM event_turns"""))
 def w1_segment_events(spark, sf_dir):
     """W1 on long conversations (events per user, key = event type)."""
-    return fx.event_turns(spark, sf_dir).select(
+    return segment.segment_by_key(fx.keyed_events(spark, sf_dir), "knowledge_source").select(
         "conversation_id", "sub_conversation_id", "turn_id", "knowledge_source", "topic_shift")
 
 
@@ -107,7 +107,7 @@ _SHIFT_STATS = """
                         count_if(d = 1) AS single_turn_shifts, count_if(d > 1) AS multi_turn_shifts
                  FROM gaps GROUP BY conversation_id) g USING (conversation_id)),
     ratio AS (SELECT *, CASE WHEN len_turn_diffs > 0
-                             THEN round_even(single_turn_shifts / len_turn_diffs, 3) ELSE 0.0 END
+                             THEN CAST(printf('%.3f', single_turn_shifts / len_turn_diffs) AS DOUBLE) ELSE 0.0 END
                         AS single_turn_ratio FROM stats)"""
 
 
@@ -243,10 +243,12 @@ def w10_truncate_tokens(spark, sf_dir):
     return t.select("conversation_id", "turn_id", "kept_right", "kept_left")
 
 
-def _budget_sql(view: str, part: str, n: int) -> str:
+def _budget_sql(view: str, part: str, n: int, side: str = "right") -> str:
+    words = _ws_tokens_sql('input_text')
+    kept = f"{words}[1:{n}]" if side == "right" else f"CASE WHEN len({words}) > {n} THEN {words}[-{n}:] ELSE {words} END"
     return sql([view], f"""
     SELECT conversation_id, turn_id,
-           array_to_string({_ws_tokens_sql('input_text')}[1:{n}], ' ') AS input_text
+           array_to_string({kept}, ' ') AS input_text
     FROM (SELECT conversation_id, turn_id,
                  'History: ' || coalesce(string_agg(message, ' ') OVER (PARTITION BY {part}
                       ORDER BY turn_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
@@ -266,3 +268,24 @@ def w10_budgeted_model_input_events(spark, sf_dir):
     """First 40 tokens of the whole-conversation history input on long event conversations."""
     t = segment.budgeted_model_input(fx.event_turns(spark, sf_dir), 40, "conversation")
     return t.select("conversation_id", "turn_id", "input_text")
+
+
+@register("w10_newest_first", _budget_sql("topic_turns", "conversation_id", 96, "left"))
+def w10_newest_first(spark, sf_dir):
+    """The last 96 tokens of the whole-conversation input: the newest history stays."""
+    t = segment.budgeted_model_input(fx.topic_turns(spark, sf_dir), 96, "conversation", side="left")
+    return t.select("conversation_id", "turn_id", "input_text")
+
+
+@register("w10_newest_first_events", _budget_sql("event_turns", "conversation_id", 40, "left"))
+def w10_newest_first_events(spark, sf_dir):
+    """The same on long event conversations, 40 tokens."""
+    t = segment.budgeted_model_input(fx.event_turns(spark, sf_dir), 40, "conversation", side="left")
+    return t.select("conversation_id", "turn_id", "input_text")
+
+
+@register("w10_newest_first_lines", _budget_sql("doc_topic_turns", "conversation_id, sub_conversation_id", 48, "left"))
+def w10_newest_first_lines(spark, sf_dir):
+    """Document lines, history of the segment."""
+    t = segment.budgeted_model_input(fx.doc_topic_turns(spark, sf_dir), 48, "segment", side="left")
+    return t.select("conversation_id", "turn_id", "input_text")

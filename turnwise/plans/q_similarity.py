@@ -46,10 +46,26 @@ def x1_tfidf(spark, sf_dir):
     return w.select("conversation_id", "turn_id", "term", "tf", r6("weight").alias("weight"))
 
 
+_TFIDF_ALL = f"""
+    tok AS (SELECT conversation_id, turn_id, unnest({toks(norm_text('message'))}) AS term FROM turns),
+    tf AS (SELECT conversation_id, turn_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+    w0 AS (SELECT tf.*, tf.tf * (ln((1.0 + (SELECT count(*) FROM turns)) / (1.0 + df)) + 1.0) AS raw FROM tf JOIN dfq USING (term)),
+    w AS (SELECT conversation_id, turn_id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY conversation_id, turn_id)) AS weight FROM w0)"""
+
+
+@register("x1_tfidf_global", sql(["turns"], """
+    SELECT conversation_id, turn_id, term, tf, round(weight, 6) AS weight FROM w""", _TFIDF_ALL))
+def x1_tfidf_global(spark, sf_dir):
+    """One vocabulary for the whole table; frequent words are spread by the turns that hold them."""
+    w = sim.tfidf(fx.turns(spark, sf_dir), scope="global")
+    return w.select("conversation_id", "turn_id", "term", "tf", r6("weight").alias("weight"))
+
+
 @register("x2_consecutive_tfidf", sql(["turns"], """
     SELECT conversation_id, turn_id, next_turn_id, round(similarity, 6) AS similarity FROM cs""", _TFIDF))
 def x2_consecutive_tfidf(spark, sf_dir):
-    s = sim.consecutive_tfidf(fx.turns(spark, sf_dir))
+    s = sim.consecutive_tfidf(fx.laid_turns(spark, sf_dir))
     return s.select("conversation_id", "turn_id", "next_turn_id", r6("similarity").alias("similarity"))
 
 
@@ -57,7 +73,7 @@ def x2_consecutive_tfidf(spark, sf_dir):
     SELECT conversation_id, turn_id, round(similarity, 6) AS similarity FROM cs WHERE similarity < 0.1""",
                                   _TFIDF))
 def x3_shifts_below(spark, sf_dir):
-    s = sim.shifts_below(sim.consecutive_tfidf(fx.turns(spark, sf_dir)), 0.1)
+    s = sim.shifts_below(sim.consecutive_tfidf(fx.laid_turns(spark, sf_dir)), 0.1)
     return s.select("conversation_id", "turn_id", r6("similarity").alias("similarity"))
 
 
@@ -66,7 +82,7 @@ def x3_shifts_below(spark, sf_dir):
     FROM (SELECT *, lead(message) OVER ({_W}) AS nm FROM turns) t
     JOIN cs USING (conversation_id, turn_id) WHERE cs.similarity < 0.1""", _TFIDF))
 def x4_shift_pairs(spark, sf_dir):
-    t = fx.turns(spark, sf_dir)
+    t = fx.laid_turns(spark, sf_dir)
     flags = sim.shifts_below(sim.consecutive_tfidf(t), 0.1)
     return sim.shift_pairs(t, flags)
 
@@ -95,12 +111,6 @@ def x7_keyword_overlap(spark, sf_dir):
     return d.select("conversation_id", "turn_id", r6("overlap").alias("overlap"))
 
 
-def _emb_msg(spark, sf_dir):
-    e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")
-    t = fx.turns(spark, sf_dir).select("conversation_id", "turn_id", "message")
-    return e.join(t, ["conversation_id", "turn_id"])
-
-
 def _all_emb_msg(spark, sf_dir):
     """Every turn; the embedding is null where there is none."""
     e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")
@@ -112,12 +122,8 @@ _ALL_EMB_MSG = """
     em AS (SELECT t.conversation_id, t.turn_id, e.embedding, t.message
            FROM turns t LEFT JOIN emb_turns e USING (conversation_id, turn_id))"""
 
-_EMB_MSG = """
-    em AS (SELECT e.conversation_id, e.turn_id, e.embedding, t.message
-           FROM emb_turns e JOIN turns t USING (conversation_id, turn_id))"""
-
 
-def _x8_sql(mark: str, em: str = _EMB_MSG) -> str:
+def _x8_sql(mark: str, em: str = _ALL_EMB_MSG) -> str:
     scores = f"""
       SELECT conversation_id, turn_id,
              CASE WHEN lead(turn_id) OVER ({_W}) IS NULL THEN NULL
@@ -137,22 +143,7 @@ def _x8_sql(mark: str, em: str = _EMB_MSG) -> str:
     return sql(["emb_turns", "turns"], body, em)
 
 
-@register("x8_weak_label", _x8_sql("before"))
-def x8_weak_label(spark, sf_dir):
-    """Embedding cosine < 0.25 and keyword overlap < 0.4; label on the first turn of the pair."""
-    d = sim.weak_label(_emb_msg(spark, sf_dir), stopwords=STOPWORDS)
-    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
-                    r6("keyword").alias("keyword"))
-
-
-@register("x8_weak_label_opening", _x8_sql("opening"))
-def x8_weak_label_opening(spark, sf_dir):
-    d = sim.weak_label(_emb_msg(spark, sf_dir), stopwords=STOPWORDS, mark="opening")
-    return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
-                    r6("keyword").alias("keyword"))
-
-
-@register("x8_weak_label_all", _x8_sql("before", _ALL_EMB_MSG))
+@register("x8_weak_label_all", _x8_sql("before"))
 def x8_weak_label_all(spark, sf_dir):
     """Every turn is labelled and meets its true neighbour; without a vector the similarity is null."""
     d = sim.weak_label(_all_emb_msg(spark, sf_dir), stopwords=STOPWORDS)
@@ -160,26 +151,13 @@ def x8_weak_label_all(spark, sf_dir):
                     r6("keyword").alias("keyword"))
 
 
-@register("x8_weak_label_opening_all", _x8_sql("opening", _ALL_EMB_MSG))
+@register("x8_weak_label_opening_all", _x8_sql("opening"))
 def x8_weak_label_opening_all(spark, sf_dir):
     d = sim.weak_label(_all_emb_msg(spark, sf_dir), stopwords=STOPWORDS, mark="opening")
     return d.select("conversation_id", "turn_id", "weak_shift", r6("similarity").alias("similarity"),
                     r6("keyword").alias("keyword"))
 
 
-@register("x9_l2_normalize", sql([], f"""
-    SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u0,
-           round(CAST(embedding[64] AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12), 6) AS u63,
-           round(sqrt(list_sum(list_transform(embedding, lambda z:
-                 (CAST(z AS DOUBLE) / greatest({vnorm('embedding')}, 1e-12)) ** 2))), 6) AS unit_norm
-    FROM embeddings"""))
-def x9_l2_normalize(spark, sf_dir):
-    from ..functions.vectors import norm
-    e = sim.normalized_vectors(fx.table(spark, sf_dir, "embeddings"), "embedding", "unit")
-    return e.select("vec_id", r6(F.col("unit")[0]).alias("u0"), r6(F.col("unit")[63]).alias("u63"),
-                    r6(norm("unit")).alias("unit_norm"))
-
-
 @register("x9_l2_normalize_all", sql([], f"""
     SELECT vec_id, i - 1 AS i, round(u[i], 6) AS value
     FROM (SELECT vec_id, u, unnest(range(1, len(u) + 1)) AS i

@@ -1,20 +1,20 @@
-"""Skew-safe ordered scans inside a group (previous row, next row, running sums).
-
-A plain ``Window.partitionBy(conversation)`` puts a whole conversation into
-one task.  One conversation may hold a large share of all rows, so every
-ordered scan here is computed in *blocks*: the group key plus
-``floor(order / block_rows)``.  Inside a block Spark's window operator does the
-work; across blocks a small carry table (one row per block) supplies the edge
-values of the neighbouring blocks and the totals of the earlier ones.
-
-One call of :func:`ordered_scan` is one pass: one shuffle of the rows on
-(group, block), one aggregate of the block edges (no shuffle: the rows are
-already partitioned that way), a window over the block table, and a join of
-the rows with the block table on its unique key.  Callers ask for everything
-they need from one ordering in a single call, so scans do not stack.
-
-``order`` must be an integral, roughly dense position (turn ids, row
-positions); blocks then hold at most ``block_rows`` rows.
+"""Skew-safe ordered scans inside a group, and group values handed back to rows.
+
+A plain ``Window.partitionBy(conversation)`` puts a whole conversation into one task, and a join
+on the conversation puts all its rows next to one key.  One conversation may hold a large share
+of all rows, so both are done in *blocks*: the group key plus ``floor(order / block_rows)``.
+Inside a block Spark's window operator does the work; a block table (one row per block) carries
+edge values, totals of earlier blocks and group totals, and is joined back on (group, block).
+
+Without a group (the whole table is one sequence) the block table itself may be long.  It is then
+scanned in blocks as well, and so on: a tree of block tables whose last level has at most
+``block_rows`` rows.
+
+Scans that follow each other on one ordering share it: :func:`laid_out` writes a table bucketed by
+(group, block), and scans of such a table, and of what scans of it return, add no exchange of rows.
+
+``order`` must be an integral, roughly dense position (turn ids, row positions); blocks then hold
+at most ``block_rows`` rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bucketed_table
+
 BLOCK_ROWS = 1 << 16
 # Session setting that overrides the default block size (tests set it small to
 # exercise the cross-block carries).
 BLOCK_CONF = "turnwise.scan.blockRows"
 
-_BLK = "_tw_blk"
+# The block column that a laid out table carries (blocks of ``LAID_ORDER``).
+BLOCK, LAID_ORDER = "_tw_blk", "turn_id"
 
 
 def block_rows_for(df: DataFrame, block_rows: int | None = None) -> int:
@@ -42,71 +45,121 @@ def block_of(df: DataFrame, order: str, block_rows: int | None = None) -> Column
     return F.floor(F.col(order) / F.lit(block_rows_for(df, block_rows))).cast("long")
 
 
-def _block_window(part: Sequence[str]):
-    w = Window.partitionBy(*part) if part else Window
-    return w.orderBy(_BLK)
+def laid_out(df: DataFrame, part: Sequence[str], dealt: bool = False) -> DataFrame:
+    """``df`` written once, bucketed by (``part``, block of turns) and read back with its block column.
+
+    ``dealt``: the rows are already dealt by these columns (scans of a laid out table)."""
+    if BLOCK not in df.columns:
+        df = df.withColumn(BLOCK, block_of(df, LAID_ORDER))
+    return bucketed_table(df, [*part, BLOCK], [LAID_ORDER], dealt)
+
+
+# What a block hands on, by kind of scan: its value for other blocks, and a row's value from the
+# other rows of its block.  All are exclusive of the row itself (but ``total``, of the group).
+def _block_value(kind: str, v: Column, order: str) -> Column:
+    if kind == "prev":
+        return F.max_by(v, F.col(order))
+    if kind == "next":
+        return F.min_by(v, F.col(order))
+    return {"sum": F.sum, "total": F.sum, "max": F.max, "total_max": F.max, "min_after": F.min, "total_min": F.min}[kind](v)
+
+
+def _inside(kind: str, v: Column, w, whole: bool) -> Column | None:
+    """``whole``: the window is the group, not a block (totals then come from it as well)."""
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if kind.startswith("total"):
+        return {"total": F.sum, "total_max": F.max, "total_min": F.min}[kind](v).over(every) if whole else None
+    return {"sum": lambda: F.coalesce(F.sum(v).over(before), F.lit(0)), "max": lambda: F.max(v).over(before),
+            "min_after": lambda: F.min(v).over(after), "prev": lambda: F.lag(v).over(w), "next": lambda: F.lead(v).over(w)}[kind]()
+
+
+def _joined(kind: str, inside: Column, carried: Column) -> Column:
+    if kind == "sum":
+        return inside + F.coalesce(carried, F.lit(0))
+    if kind == "max":
+        return F.greatest(inside, carried)
+    if kind == "min_after":
+        return F.least(inside, carried)
+    return F.coalesce(inside, carried)
+
+
+def _exclusive(table: DataFrame, part: Sequence[str], order: str, kinds: Mapping[str, str], rows: int,
+               longest: int | None, level: int, block: str | None = None) -> DataFrame:
+    """``table`` (values ``_tw_v_<out>``) with ``_tw_x_<out>`` for each ``out: kind``.
+
+    ``longest``: how many rows a group may have; blocks are made if that is more than ``rows``."""
+    if longest is not None and longest <= max(rows, 2):
+        w = (Window.partitionBy(*part) if part else Window).orderBy(order)
+        return table.select("*", *[_inside(k, F.col(f"_tw_v_{o}"), w, True).alias(f"_tw_x_{o}") for o, k in kinds.items()])
+    b = block or f"_tw_b{level}"
+    d = table if block else table.withColumn(b, F.floor(F.col(order) / rows).cast("long"))
+    keys = [*part, b]
+    w = Window.partitionBy(*keys).orderBy(order)
+    edges = d.groupBy(*keys).agg(*[_block_value(k, F.col(f"_tw_v_{o}"), order).alias(f"_tw_v_{o}") for o, k in kinds.items()])
+    inside = {o: _inside(k, F.col(f"_tw_v_{o}"), w, False) for o, k in kinds.items()}
+    d = d.select("*", *[c.alias(f"_tw_i_{o}") for o, c in inside.items() if c is not None])
+    # A group's blocks are few (one for each ``rows`` rows); the whole table's may be many.
+    up = _exclusive(edges, part, b, kinds, rows, max(rows, 2) if part else -(-longest // rows), level + 1)
+    up = up.select(*keys, *[F.col(f"_tw_x_{o}").alias(f"_tw_c_{o}") for o in kinds])
+    d = d.join(up, keys, "left")
+    exact = [_joined(k, F.col(f"_tw_i_{o}"), F.col(f"_tw_c_{o}")) if inside[o] is not None else F.col(f"_tw_c_{o}") for o, k in kinds.items()]
+    made = [c.alias(f"_tw_x_{o}") for o, c in zip(kinds, exact)]
+    return d.select(*[c for c in table.columns], *made)
 
 
 def ordered_scan(df: DataFrame, part: Sequence[str], order: str,
                  prev: Sequence[str] = (), nxt: Sequence[str] = (),
                  sums: Mapping[str, Column | str] | None = None,
+                 totals: Mapping[str, Column | str] | None = None,
+                 last: Mapping[str, Column | str] | None = None,
+                 coming: Mapping[str, Column | str] | None = None,
+                 group_max: Mapping[str, Column | str] | None = None,
+                 group_min: Mapping[str, Column | str] | None = None,
                  prev_prefix: str = "prev_", next_prefix: str = "next_",
                  block_rows: int | None = None) -> DataFrame:
     """One skew-safe pass over each group of ``part`` in ``order``.
 
-    Adds ``prev_prefix + c`` (value on the previous row of the group) for each
-    ``c`` in ``prev``, ``next_prefix + c`` (next row) for each ``c`` in
-    ``nxt``, and for each ``out: expr`` of ``sums`` the running sum of
-    ``expr`` up to and including the row.
-    """
-    part, prev, nxt, sums = list(part), list(prev), list(nxt), dict(sums or {})
-    keys = part + [_BLK]
-    d = df.withColumn(_BLK, block_of(df, order, block_rows))
-    for out, e in sums.items():
-        d = d.withColumn("_tw_v_" + out, (F.col(e) if isinstance(e, str) else e).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.col(c) for c in d.columns]
-    if prev:
-        cols.append((F.row_number().over(w) == 1).alias("_tw_first"))
-        cols += [F.lag(c).over(w).alias(prev_prefix + c) for c in prev]
-    if nxt:
-        cols.append(F.lead(F.lit(1)).over(w).isNull().alias("_tw_last"))
-        cols += [F.lead(c).over(w).alias(next_prefix + c) for c in nxt]
-    cols += [F.sum("_tw_v_" + out).over(run).alias(out) for out in sums]
-    d = d.select(*cols)
+    Adds ``prev_prefix + c`` (value on the previous row of the group) for each ``c`` in ``prev``,
+    ``next_prefix + c`` (next row) for each ``c`` in ``nxt``, and for each ``out: expr``
 
-    edge_aggs = []
-    if prev:
-        edge_aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev]), F.col(order)).alias("_tw_e_last"))
-    if nxt:
-        edge_aggs.append(F.min_by(F.struct(*[F.col(c) for c in nxt]), F.col(order)).alias("_tw_e_first"))
-    edge_aggs += [F.sum("_tw_v_" + out).alias("_tw_t_" + out) for out in sums]
-    edge = d.groupBy(*keys).agg(*edge_aggs)
-    wb = _block_window(part)
-    carry = [F.col(k) for k in keys]
+    * ``sums``: the running sum of ``expr`` up to and including the row;
+    * ``totals``, ``group_max``, ``group_min``: its sum, maximum, minimum over the group;
+    * ``last``: its maximum up to and including the row (the last position where it is not null);
+    * ``coming``: its minimum from the row on (the next position where it is not null).
+    """
+    part, prev, nxt = list(part), list(prev), list(nxt)
+    rows = block_rows_for(df, block_rows)
+    kinds: dict[str, str] = {}
+    values: dict[str, Column] = {}
+    asked = {"sum": sums, "total": totals, "max": last, "min_after": coming, "total_max": group_max, "total_min": group_min}
+    for kind, exprs in asked.items():
+        for out, e in (exprs or {}).items():
+            kinds[out], values[out] = kind, F.col(e) if isinstance(e, str) else e
+            if kind in ("sum", "total"):
+                values[out] = values[out].cast("long")
     if prev:
-        carry.append(F.lag("_tw_e_last").over(wb).alias("_tw_cp"))
+        kinds["prev"], values["prev"] = "prev", F.struct(*[F.col(c) for c in prev])
     if nxt:
-        carry.append(F.lead("_tw_e_first").over(wb).alias("_tw_cn"))
-    carry += [F.coalesce(F.sum("_tw_t_" + out).over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_tw_o_" + out) for out in sums]
-    d = d.join(edge.select(*carry), keys, "left")
-
-    outs = []
-    for c in d.columns:
-        if c in (_BLK, "_tw_first", "_tw_last", "_tw_cp", "_tw_cn") or c.startswith(("_tw_v_", "_tw_o_")):
-            continue
-        if prev and c in [prev_prefix + p for p in prev]:
-            src = c[len(prev_prefix):]
-            outs.append(F.when(F.col("_tw_first"), F.col("_tw_cp." + src)).otherwise(F.col(c)).alias(c))
-        elif nxt and c in [next_prefix + p for p in nxt]:
-            src = c[len(next_prefix):]
-            outs.append(F.when(F.col("_tw_last"), F.col("_tw_cn." + src)).otherwise(F.col(c)).alias(c))
-        elif c in sums:
-            outs.append((F.col(c) + F.col("_tw_o_" + c)).alias(c))
-        else:
-            outs.append(F.col(c))
+        kinds["next"], values["next"] = "next", F.struct(*[F.col(c) for c in nxt])
+    laid = BLOCK in df.columns and order == LAID_ORDER and part and block_rows is None
+    longest = None
+    if not part:  # one sequence: how long decides the height of the tree
+        top = df.agg(F.max(order)).first()[0]
+        longest = max(int(top or 0) + 1, rows + 1)
+    d = df.select("*", *[v.alias(f"_tw_v_{o}") for o, v in values.items()])
+    d = _exclusive(d, part, order, kinds, rows, longest, 1, BLOCK if laid else None)
+    outs = [F.col(c) for c in df.columns]
+    outs += [F.col(f"_tw_x_prev.{c}").alias(prev_prefix + c) for c in prev]
+    outs += [F.col(f"_tw_x_next.{c}").alias(next_prefix + c) for c in nxt]
+    for out, kind in kinds.items():
+        x, v = F.col(f"_tw_x_{out}"), F.col(f"_tw_v_{out}")
+        if kind == "sum":
+            outs.append((x + F.coalesce(v, F.lit(0))).alias(out))
+        elif kind in ("max", "min_after"):
+            outs.append((F.greatest if kind == "max" else F.least)(x, v).alias(out))
+        elif kind.startswith("total"):
+            outs.append((F.coalesce(x, F.lit(0)) if kind == "total" else x).alias(out))
     return d.select(*outs)
 
 
@@ -128,7 +181,26 @@ def with_running_sum(df: DataFrame, part: Sequence[str], order: str, value: Colu
     return ordered_scan(df, part, order, sums={out: value}, block_rows=block_rows)
 
 
-def with_row_number(df: DataFrame, part: Sequence[str], order: str, out: str,
-                    block_rows: int | None = None) -> DataFrame:
-    """1-based row number in the group (a running count)."""
-    return with_running_sum(df, part, order, F.lit(1), out, block_rows)
+def _struct_type(values: DataFrame, cols: Sequence[str]) -> str:
+    return values.select(F.struct(*cols).alias("s")).schema["s"].dataType.simpleString()
+
+
+def hand_back(df: DataFrame, part: Sequence[str], order: str, values: DataFrame, cols: Sequence[str],
+              block_rows: int | None = None) -> DataFrame:
+    """Add ``cols`` of ``values`` (one row per group of ``part``) to the rows of ``df``; null without one.
+
+    The groups' values first reach a table of blocks (one row for each ``block_rows`` rows of a
+    group), by grouping it together with them, and then the rows by a join on (group, block).
+    """
+    part, cols = list(part), list(cols)
+    laid = BLOCK in df.columns and order == LAID_ORDER and block_rows is None
+    b = BLOCK if laid else "_tw_hb"
+    d = df if laid else df.withColumn(b, block_of(df, order, block_rows))
+    blocks = d.select(*part, b).distinct()
+    both = blocks.select(*part, b, F.lit(None).cast(_struct_type(values, cols)).alias("_tw_val")) \
+        .unionByName(values.select(*part, F.lit(None).cast("long").alias(b), F.struct(*cols).alias("_tw_val")))
+    # max ignores nulls: the one value of the group
+    got = both.select(*part, b, F.max("_tw_val").over(Window.partitionBy(*part)).alias("_tw_val")).where(F.col(b).isNotNull())
+    d = d.join(got, [*part, b], "left")
+    keep = [c for c in df.columns if c not in cols]
+    return d.select(*keep, *[F.col(f"_tw_val.{c}").alias(c) for c in cols])

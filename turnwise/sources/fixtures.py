@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import EOU
 from ..operators.segment import segment_by_key
 from ..plans.positions import with_group_rank
+from ..plans.scan import laid_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("role").alias("agent"), F.col("text").alias("message"))
 
 
+def laid_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``turns``, laid out by (conversation, block of turns)."""
+    return laid_out(turns(spark, sf_dir), ["conversation_id"])
+
+
 def keyed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``turns`` with a knowledge-source list: blocks of up to three turns."""
     t = turns(spark, sf_dir)
@@ -35,8 +41,13 @@ def keyed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``keyed_turns`` segmented by key change."""
-    return segment_by_key(keyed_turns(spark, sf_dir), "knowledge_source")
+    """``keyed_turns`` segmented by key change (W1), laid out for the scans that follow."""
+    return segmented(keyed_turns(spark, sf_dir))
+
+
+def segmented(df: DataFrame) -> DataFrame:
+    """W1, written once by (conversation, block of turns): later scans share the ordering."""
+    return laid_out(segment_by_key(df, "knowledge_source"), ["conversation_id"], dealt=True)
 
 
 def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +95,21 @@ def emb_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = e.select((F.col("vec_id") / 10).cast("long").alias("conversation_id"),
                  (F.col("vec_id") % 10).alias("turn_id"), "embedding",
                  F.when(F.col("label") >= 9, "hi").otherwise("lo").alias("knowledge_source"))
-    return segment_by_key(d, "knowledge_source")
+    return segmented(d)
 
 
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyed_events`` segmented."""
+    return segmented(keyed_events(spark, sf_dir))
+
+
+def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events``: user = conversation, rank by (ts, event_id) = turn, event type = key."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     r = with_group_rank(e, ["user_id"], [F.col("ts"), F.col("event_id")], "turn_id")
-    d = r.select(F.col("user_id").alias("conversation_id"), "turn_id",
-                 F.col("props").alias("message"), F.col("event_type").alias("knowledge_source"),
-                 F.when(F.col("value") < 10, "low").otherwise("high").alias("agent"))
-    return segment_by_key(d, "knowledge_source")
+    return r.select(F.col("user_id").alias("conversation_id"), "turn_id",
+                    F.col("props").alias("message"), F.col("event_type").alias("knowledge_source"),
+                    F.when(F.col("value") < 10, "low").otherwise("high").alias("agent"))
 
 
 def doc_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +124,7 @@ def doc_topic_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_turns`` in topic blocks of eight lines (W1); repeated lines occur in a block."""
     d = doc_turns(spark, sf_dir).withColumn(
         "knowledge_source", F.concat(F.lit("p"), F.floor(F.col("turn_id") / 8).cast("long").cast("string")))
-    return segment_by_key(d, "knowledge_source")
+    return segmented(d)
 
 
 def preds(spark: SparkSession, sf_dir: str, threshold: float = 0.03) -> DataFrame:
