@@ -1,17 +1,31 @@
-"""Physical plans: no window over the whole table except the declared bounded ones.
+"""Physical plans, of results and of tables written on the way.
 
-A window with no partition key runs in one task.  The only ones allowed are
-over tables whose size is bounded independently of the row count of a
-conversation: the per-partition counts of range positions (ordered by
-``_tw_pid``) and block tables of whole-table scans (ordered by the block
-number ``_tw_blk`` / ``_blk``, one row per 65,536 positions).
+* No window over the whole table except the declared bounded ones: the per-partition counts of
+  range positions (``_tw_pid``) and the last level of a tree of block tables (``_tw_b<level>``,
+  at most ``block_rows`` rows).
+* Group values reach rows block by block: no join of rows by the conversation alone.
+* Scans of one ordering share it.
 """
 
 import re
 
+import pytest
 from conftest import SF001
 
-ALLOWED_ORDER = ("_tw_pid", "_tw_blk", "_blk")
+from turnwise import session
+
+ALLOWED_ORDER = ("_tw_pid", "_tw_b")
+
+
+def plans_of(fn, spark) -> list[str]:
+    """Plans of the tables written while the query is built, and of its result."""
+    seen = []
+    session.on_write = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString())
+    try:
+        df = fn(spark, SF001)
+    finally:
+        session.on_write = None
+    return [*seen, df._jdf.queryExecution().executedPlan().toString()]
 
 
 def unpartitioned_windows(plan: str) -> list[str]:
@@ -23,22 +37,60 @@ def unpartitioned_windows(plan: str) -> list[str]:
     return out
 
 
-def test_parser():
+def join_keys(plan: str) -> list[list[str]]:
+    """Left keys of every sort-merge, shuffled or broadcast join."""
+    return [[k.split("#")[0].strip() for k in m.group(1).split(",")] for m in re.finditer(r"Join \[([^\]]*)\], \[", plan)]
+
+
+def test_parsers():
     p = ("Window [sum(_tw_n#68L) windowspecdefinition(_tw_pid#79 ASC NULLS FIRST, specifiedwindowframe("
          "RowFrame, unboundedpreceding$(), -1)) AS _we0#76L], [_tw_pid#79 ASC NULLS FIRST]\n"
          "Window [lag(k#1, -1, null) windowspecdefinition(conversation_id#4L, _tw_blk#5L, turn_id#6L ASC "
          "NULLS FIRST, specifiedwindowframe(RowFrame, -1, -1)) AS p#7]")
     assert unpartitioned_windows(p) == ["_tw_pid#79 ASC NULLS FIRST"]
+    assert join_keys("SortMergeJoin [a#1L, _tw_blk#2], [a#3L, _tw_blk#4], Inner") == [["a", "_tw_blk"]]
 
 
 def test_no_single_task_windows(spark):
     import __spark_entry__ as E
     bad, seen = {}, 0
     for name, fn in E.queries().items():
-        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
-        for order in unpartitioned_windows(plan):
-            seen += 1
-            if not order.startswith(ALLOWED_ORDER):
-                bad.setdefault(name, []).append(order)
+        for plan in plans_of(fn, spark):
+            for order in unpartitioned_windows(plan):
+                seen += 1
+                if not order.startswith(ALLOWED_ORDER):
+                    bad.setdefault(name, []).append(order)
     assert not bad, bad
-    assert seen > 0  # the declared ones (positions, global block tables) are found
+    assert seen > 0  # the declared ones (positions, last levels of block tables) are found
+
+
+# Queries whose operators give a value of a conversation (or segment) back to its turns.
+HOT = ["p7_drop_trailing", "p8_cap_turns_drop_busy", "p10_reset_first_row", "j1_keep_steady", "j1_keep_steady_events",
+       "j5_coherence_positive", "j6_coherence_negative", "j7_shift_positive", "j8_shift_negative", "j9_label_pairs", "j5_drawn_pairs",
+       "j6_drawn_pairs", "j7_drawn_pairs", "j8_drawn_pairs", "w5_shift_stats", "w5_shift_gaps", "w10_budgeted_model_input", "w10_newest_first",
+       "x1_tfidf", "x1_tfidf_global", "x2_consecutive_tfidf", "m12_segmentation_report_conversation", "w1_segment_events"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_no_join_by_the_conversation_alone(spark, name):
+    """Broadcasts off, so that every join shows its keys."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in plans_of(E.queries()[name], spark):
+            for keys in join_keys(plan):
+                assert not set(keys) <= {"conversation_id", "user_id", "sub_conversation_id", "term"}, keys
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# Planned hash exchanges of rounds before, with every scan on its own; now at most a third, writes included.
+BEFORE = {"w5_shift_stats": 21, "j1_keep_steady": 24, "q1_non_alternating": 34, "x2_consecutive_tfidf": 26,
+          "x4_shift_pairs": 30, "j9_label_pairs": 74, "m12_segmentation_report_conversation": 63}
+
+
+@pytest.mark.parametrize("name", BEFORE)
+def test_chained_scans_share_their_ordering(spark, name):
+    import __spark_entry__ as E
+    n = sum(p.count("Exchange hashpartitioning") for p in plans_of(E.queries()[name], spark))
+    assert n <= BEFORE[name] / 3, n
