@@ -60,6 +60,53 @@ def test_orc_round_trip(spark, odd, none, tmp_path):
     assert orc_ids.round_trip(none, BYTE, 2).count() == 0
 
 
+def test_orc_copies_and_null_ids_are_spread(spark, tmp_path):
+    """A third of the rows without id, a third copies of one row: no file holds them all, and starts follow the files."""
+    rows = [(None, f"text {k}") for k in range(400)] + [(7, "one text")] * 400 + [(k, f"own {k}") for k in range(400)]
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be put together
+    try:
+        orc_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, BYTE, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = orc_ids.read_back(spark, path).collect()
+    assert len(back) == len(rows)
+    at = 0
+    for r in sorted(back, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(back, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    ids = orc_ids.read_ids(spark, path)
+    assert ids.where("doc_id IS NULL").select("part").distinct().count() > 1
+    assert ids.where("doc_id = 7").select("part").distinct().count() > 1
+
+
+def test_orc_filter_skips_stripes(spark, tmp_path):
+    """A filter on one id reads a row group, not the file."""
+    path = str(tmp_path / "ids")
+    orc_ids.write_ids(spark.createDataFrame([(2 * k, f"a few words {k}") for k in range(30_000)], "doc_id long, text string").coalesce(1), path, BYTE, 2)
+
+    def rows_read(condition):
+        df = orc_ids.read_ids(spark, path).where(condition)
+        df.write.format("noop").mode("overwrite").save()
+        qe = df._jdf.queryExecution()
+        qe.executedPlan().execute().count()
+        scans = []
+
+        def walk(p):
+            if p.nodeName().startswith("Scan"):
+                scans.append(p.metrics().apply("numOutputRows").value())
+            for k in range(p.children().size()):
+                walk(p.children().apply(k))
+        walk(qe.executedPlan())
+        return sum(scans)
+
+    assert rows_read("doc_id >= 0") == 30_000
+    assert 0 < rows_read("doc_id = 4000") <= 1100     # one row group of 1000 rows, found by the row index
+    assert rows_read("doc_id = 4001") == 0            # within the range of a group, but not in its Bloom filter
+
+
 def check_packing(rows, capacity):
     for _, group in group_by(rows, "sequence_id").items():
         end = 0

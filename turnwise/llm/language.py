@@ -31,6 +31,7 @@ from .common import slices, stored
 BUCKETS = 1 << 15
 RELIABLE = 0.9   # how often a declaration is right
 STRENGTH = 20.0  # documents that a smoothing prior is worth
+SLICE = 200_000   # characters whose trigrams are in memory at a time (one text at least)
 WORTH = 60.0     # trigrams that the whole text's likelihood is worth at most
 LANGUAGES = ("en", "fr", "de", "es")
 
@@ -57,7 +58,7 @@ def learn(docs: DataFrame, languages: tuple[str, ...], text: str, declared: str)
         for df in batches:
             for k, name in enumerate(languages):
                 texts = df["text"][df["declared"] == name].tolist()
-                for i, j in slices(texts) if texts else ():
+                for i, j in slices(texts, SLICE) if texts else ():
                     total[k] += np.bincount(trigrams(texts[i:j])[0], minlength=BUCKETS)
         lang, bucket = np.nonzero(total)
         yield pd.DataFrame({"lang": lang.astype(np.int32), "bucket": bucket.astype(np.int32), "n": total[lang, bucket]})
@@ -76,7 +77,7 @@ def likelihoods(model: np.ndarray, names: list[str]):
     def score(text: pd.Series) -> pd.Series:
         texts = text.fillna("").tolist()
         out = np.zeros((len(texts), len(names)))
-        for i, j in slices(texts) if texts else ():
+        for i, j in slices(texts, SLICE) if texts else ():
             codes, n = trigrams(texts[i:j])
             ends = np.cumsum(n)
             for k in range(len(names)):
