@@ -6,12 +6,13 @@ are the same under any partitioning and can be recomputed in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import portable_hash
-from ..plans.positions import dense_rank_of, with_group_rank, with_position
+from ..plans.positions import dense_rank_of, with_position
 from ..plans.scan import BLOCK, ordered_scan
+from ..session import cut_lineage
 from .ids import attach_scalar
 from .segment import keep
 
@@ -100,35 +101,82 @@ def augment(df: DataFrame, synthetic: DataFrame) -> DataFrame:
     return df.drop(BLOCK).unionByName(synthetic, allowMissingColumns=True)
 
 
+# Selection of the first rows by (hash, key) without sorting: a histogram of the hash's upper half
+# finds, per class, the bucket in which the last selected row lies; a histogram of the hashes in that
+# bucket finds the hash; only rows with that very hash are compared by key.
+HALF = 1 << 16
+BROADCAST_CLASSES = 100_000
+
+
+def _small(t: DataFrame, classes: int) -> DataFrame:
+    return F.broadcast(t) if classes <= BROADCAST_CLASSES else t
+
+
+def _crossing(counts: DataFrame, part: list[str], bucket: str, want: Column) -> DataFrame:
+    """Per class the bucket that holds the last wanted row: ``_tw_n`` rows, ``_tw_below`` before them."""
+    w = (Window.partitionBy(*part) if part else Window)
+    before = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    every = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = counts.withColumn("_tw_below", F.coalesce(F.sum("_tw_n").over(before), F.lit(0)) + F.col("_tw_start")) \
+              .withColumn("_tw_all", F.sum("_tw_n").over(every)).withColumn("_tw_want", want)
+    return c.where((F.col("_tw_below") < F.col("_tw_want")) & (F.col("_tw_below") + F.col("_tw_n") >= F.col("_tw_want")))
+
+
+def first_by_hash(df: DataFrame, part: list[str], h: Column, key: list[str], want: Column, out: str) -> DataFrame:
+    """Adds ``out``: whether a row is among the first ``want`` of its class in the order (``h``, key).
+
+    ``h`` is a number below 2**32; ``want`` may use ``_tw_all``, the rows of the class.  Three passes
+    over ``df`` and no exchange of its rows; what is exchanged are histograms of at most 65,536 rows
+    a class.  Rows that share a hash are ranked by key; at most ``want`` of each task get there.
+    """
+    d = df.withColumn("_tw_h", h).withColumn("_tw_bucket", F.shiftright("_tw_h", 16))
+    limit = F.least(want.cast("long"), F.col("_tw_all"))
+    counts = d.groupBy(*part, "_tw_bucket").agg(F.count(F.lit(1)).alias("_tw_n")).withColumn("_tw_start", F.lit(0).cast("long"))
+    top = cut_lineage(_crossing(counts, part, "_tw_bucket", limit)
+                      .select(*[F.col(c).alias(f"_tw_k{i}") for i, c in enumerate(part)], F.col("_tw_bucket").alias("_tw_at"),
+                              F.col("_tw_below").alias("_tw_start"), F.col("_tw_want").alias("_tw_limit")))
+    classes = top.count()
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tw_k{i}"))
+    inner = d.join(_small(top, classes), same & (F.col("_tw_bucket") == F.col("_tw_at")))
+    counts = inner.groupBy(*part, "_tw_h", "_tw_start", "_tw_limit").agg(F.count(F.lit(1)).alias("_tw_n")).withColumnRenamed("_tw_h", "_tw_bh")
+    edge = cut_lineage(_crossing(counts, part, "_tw_bh", F.col("_tw_limit"))
+                       .select(*[F.col(c).alias(f"_tw_k{i}") for i, c in enumerate(part)], F.col("_tw_bh").alias("_tw_edge"),
+                               (F.col("_tw_limit") - F.col("_tw_below")).alias("_tw_need"), F.col("_tw_n").alias("_tw_ties")))
+    d = d.join(_small(edge, classes), same, "left") if part else d.join(F.broadcast(edge), F.lit(True), "left")  # one row
+    tie = (F.col("_tw_h") == F.col("_tw_edge")) & (F.col("_tw_need") < F.col("_tw_ties"))
+    sure = F.coalesce(F.col("_tw_h") <= F.col("_tw_edge"), F.lit(False))
+    if edge.where("_tw_need < _tw_ties").isEmpty():
+        return d.select(*df.columns, sure.alias(out))
+    w = Window.partitionBy(*part, "_tw_h").orderBy(*key)
+    ranked = d.where(tie).withColumn("_tw_r", F.row_number().over(w)).select(*df.columns, (F.col("_tw_r") <= F.col("_tw_need")).alias(out))
+    return d.where(~F.coalesce(tie, F.lit(False))).select(*df.columns, sure.alias(out)).unionByName(ranked)
+
+
 def sample_per_class(df: DataFrame, label: str, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """Shuffle each class by a seeded hash of ``key`` and keep its first ``n`` rows.
 
-    A class is a group of possibly most of the rows, so the rank inside the
-    class comes from range-partitioned positions over (class, hash, key), not
-    from a window per class: no class has to fit in one task.
+    A class may hold most of the rows; it is neither sorted nor brought together
+    (:func:`first_by_hash`).
     """
     h = portable_hash(F.lit(str(seed)), *[F.col(c) for c in key])
-    d = with_group_rank(df.withColumn("_tw_h", h), [label], [F.col("_tw_h")] + [F.col(c) for c in key],
-                        "_tw_rank")
-    return d.filter(F.col("_tw_rank") < n).drop("_tw_h", "_tw_rank")
+    return first_by_hash(df, [label], h, key, F.lit(n), "_tw_first").filter("_tw_first").drop("_tw_first")
 
 
 def split_rows(df: DataFrame, frac: float, key: list[str], seed: int = 42,
                exact: bool = True, out: str = "split") -> DataFrame:
     """A row split ``train``/``test``.
 
-    ``exact=True``: rows ranked by a seeded hash; the first ``int(frac * n)``
-    are train (range-partitioned positions, no single-task sort).
+    ``exact=True``: the first ``int(frac * n)`` rows by a seeded hash are train
+    (:func:`first_by_hash`, no sort).
     ``exact=False``: one pass, train when the hash is below ``frac * 2**32``.
     """
     h = portable_hash(F.lit(str(seed)), *[F.col(c) for c in key])
     if not exact:
         return df.withColumn(out, F.when(h < F.lit(int(frac * (1 << 32))), "train").otherwise("test"))
-    d = with_position(df.withColumn("_h", h), [F.col("_h")] + [F.col(c) for c in key], "_p")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    d = attach_scalar(d, n)
-    cut = F.floor(F.col("_n") * F.lit(frac))
-    return d.withColumn(out, F.when(F.col("_p") < cut, "train").otherwise("test")).drop("_h", "_p", "_n")
+    d = first_by_hash(df, [], h, key, F.floor(F.col("_tw_all") * F.lit(frac)), "_tw_first")
+    return d.withColumn(out, F.when(F.col("_tw_first"), "train").otherwise("test")).drop("_tw_first")
 
 
 def split_conversations(df: DataFrame, frac: float, seed: int = 42, conv: str = CONV,
