@@ -307,18 +307,19 @@ def table(path: str) -> PrefixTable:
     return _tables[path]
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chars_at_once: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", texts_at_once: int = 300) -> DataFrame:
     """``id, ids array<int>, decoded string`` of every row: the ids of its text and what they decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model_path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts, chars_at_once) if texts else ():
-                raw = t.encode(texts[i:j])
+            for i in range(0, b.num_rows, texts_at_once):  # few texts at a time are Python objects
+                part = b.slice(i, texts_at_once)
+                texts = part.column("text").to_pylist()
+                raw = [x for a, c in slices(texts) for x in t.encode(texts[a:c])]
                 at = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 decoded = pa.array([t.decode(np.frombuffer(x, "<u4").tolist()) for x in raw], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), lists, decoded], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, decoded], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
