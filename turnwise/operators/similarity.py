@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, tokens
 from ..functions.vectors import cosine, l2_normalize, pair_distance
-from ..plans.scan import BLOCK, block_of, ordered_scan, with_next, with_prev
+from ..plans.scan import BLOCK, block_of, hand_back_by, ordered_scan, with_next, with_prev
 from .ids import attach_scalar
 from .segment import keep
 
@@ -133,6 +133,40 @@ def keyword_overlap_prev(df: DataFrame, out: str, stopwords: Sequence[str] = (),
     return d.withColumn(out, ov).drop("_kp_message", "_kp_" + turn)
 
 
+MAP_LEMMAS = 1000  # a dictionary up to this size is looked up inside the row
+
+
+def with_lemmas(df: DataFrame, words: str, lemmas: DataFrame, out: str, key: Sequence[str] = (CONV, TURN), map_limit: int = MAP_LEMMAS) -> DataFrame:
+    """``out``: the words of an array column, each replaced by its lemma; a word without one stays.
+
+    ``lemmas``: ``token, lemma``, one row per token.  A small dictionary (its size is checked) goes
+    to every row as a map; a larger one is joined by (token, block of rows), so that a frequent
+    word is spread, and the words return to their rows by ``key``, which must be unique.
+    """
+    if lemmas.limit(map_limit + 1).count() <= map_limit:
+        one = lemmas.agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_tw_map"))
+        d = attach_scalar(df, one)
+        return d.withColumn(out, F.transform(words, lambda t: F.coalesce(F.try_element_at("_tw_map", t), t))).drop("_tw_map")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = df.select(*key, F.posexplode(words).alias("_tw_at", "token")).withColumn("_tw_block", F.pmod(F.xxhash64(*key), F.lit(spread)))
+    w = hand_back_by(w, ["token"], "_tw_block", lemmas.select("token", "lemma"), ["lemma"])
+    placed = F.struct(F.col("_tw_at").alias("a"), F.coalesce("lemma", "token").alias("t"))
+    back = w.groupBy(*key).agg(F.array_sort(F.collect_list(placed)).alias("_tw_list"))  # one row's words
+    none = F.array().cast("array<string>")
+    d = df.join(back, list(key), "left")
+    return d.withColumn(out, F.when(F.col(words).isNotNull(), F.coalesce(F.transform("_tw_list", lambda x: x["t"]), none))).drop("_tw_list")
+
+
+def lemma_overlap_prev(df: DataFrame, lemmas: DataFrame, out: str, stopwords: Sequence[str] = (),
+                       conv: str = CONV, turn: str = TURN, map_limit: int = MAP_LEMMAS) -> DataFrame:
+    """X7 on lemmas: Jaccard of the lemmas of non-stop words with those of the previous turn."""
+    d = with_lemmas(keep(df, conv, turn, _kw_set(F.col("message"), stopwords).alias("_tw_kw")), "_tw_kw", lemmas, "_tw_lem", [conv, turn], map_limit)
+    d = with_prev(d, [conv], turn, ["_tw_lem", turn], prefix="_kp_")
+    a, b = F.col("_kp__tw_lem"), F.col("_tw_lem")
+    ov = F.size(F.array_intersect(a, b)) / (F.size(F.array_union(a, b)) + F.lit(1e-6))
+    return d.select(conv, turn, F.when(F.col("_kp_" + turn).isNotNull(), ov).alias(out))
+
+
 def weak_label(df: DataFrame, vec: str = "embedding", sim_threshold: float = 0.25,
                overlap_threshold: float = 0.4, stopwords: Sequence[str] = (),
                mark: str = "before", conv: str = CONV, turn: str = TURN) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import losses, metrics, model
+from ..operators import augment, losses, metrics, model
 from ..plans.scan import with_next
 from ..sources import fixtures as fx
 from .catalog import r6, register
@@ -240,6 +240,39 @@ def m13_classifier_report(spark, sf_dir):
                     r6("f1_score").alias("f1_score"), "support")
 
 
+FOCAL_RIDGE, SPLIT = 1e-3, 0.8
+
+
+def _focal(spark, sf_dir):
+    """Focal-loss weights fitted on the training conversations (G5), and all rows with their split."""
+    e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding", "topic_shift")
+    e = augment.split_conversations(e, SPLIT, 42)
+    return model.fit_focal(e.where("split = 'train'"), "embedding", "topic_shift", ridge=FOCAL_RIDGE), e
+
+
+@register("m13_focal_stationary", sql([], """
+    SELECT i, TRUE AS zero_gradient FROM (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i)"""))
+def m13_focal_stationary(spark, sf_dir):
+    """Every component of the gradient at the fitted weights, recomputed by column expressions: zero within 1e-6."""
+    w, e = _focal(spark, sf_dir)
+    t = model.with_score(e.where("split = 'train'").withColumnRenamed("topic_shift", "label"), w)
+    t = t.withColumn("slope", model.focal_slope())
+    x = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array(F.lit(1.0)))
+    g = t.select("slope", F.posexplode(x).alias("i", "x")).groupBy("i").agg(F.avg(F.col("slope") * F.col("x")).alias("g"))
+    ridge = F.array(*[F.lit(FOCAL_RIDGE * v) for v in [*w[:-1], 0.0]])
+    return g.select(F.col("i").cast("long").alias("i"), (F.abs(F.col("g") + F.get(ridge, F.col("i"))) < 1e-6).alias("zero_gradient"))
+
+
+@register("m13_focal_report")
+def m13_focal_report(spark, sf_dir):
+    """M13 with the focal loss: fitted on the training conversations, scored on the others (M7)."""
+    w, e = _focal(spark, sf_dir)
+    p = model.predict_focal(e.where("split = 'test'"), w, keep=["topic_shift"])
+    r = metrics.classification_report(p, "topic_shift", "prediction")
+    return r.select("class_name", r6("precision").alias("precision"), r6("recall").alias("recall"),
+                    r6("f1_score").alias("f1_score"), "support")
+
+
 @register("st_stream_thresholds", sql(["logits"], """
     SELECT conversation_id, turn_id, round(1.0 / (1.0 + exp(logit0 - logit1)), 6) AS p1,
            CASE WHEN 1.0 / (1.0 + exp(logit0 - logit1)) > 0.63 THEN 1 ELSE 0 END AS pred,

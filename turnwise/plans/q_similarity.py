@@ -111,6 +111,34 @@ def x7_keyword_overlap(spark, sf_dir):
     return d.select("conversation_id", "turn_id", r6("overlap").alias("overlap"))
 
 
+def plural_lemmas(turns):
+    """A dictionary from the corpus itself: a word in -s whose form without it also occurs."""
+    words = turns.select(F.explode(sim.tokens("message")).alias("token")).distinct()
+    forms = words.select(F.concat("token", F.lit("s")).alias("token"), F.col("token").alias("lemma")).where(F.length("lemma") >= 3)
+    return words.join(forms, "token")
+
+
+_LEMMAS = f"""
+    words AS (SELECT DISTINCT unnest({toks('message')}) AS token FROM turns),
+    lem AS (SELECT a.token, b.token AS lemma FROM words a JOIN words b ON a.token = b.token || 's' WHERE length(b.token) >= 3),
+    kw AS (SELECT conversation_id, turn_id, list_filter(list_distinct({toks('message')}),
+                  lambda z: NOT list_contains([{", ".join("'" + w + "'" for w in STOPWORDS)}], z)) AS ws FROM turns),
+    lw AS (SELECT conversation_id, turn_id, list_distinct(coalesce(list(coalesce(lemma, w)) FILTER (w IS NOT NULL), [])) AS ls
+           FROM (SELECT conversation_id, turn_id, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE ws END) AS w FROM kw)
+           LEFT JOIN lem ON lem.token = w GROUP BY ALL)"""
+
+
+@register("x7_lemma_overlap", sql(["turns"], f"""
+    SELECT conversation_id, turn_id, round(CASE WHEN p IS NULL THEN NULL
+             ELSE len(list_intersect(p, ls)) / (len(list_distinct(list_concat(p, ls))) + 1e-6) END, 6) AS overlap
+    FROM (SELECT *, lag(ls) OVER ({_W}) AS p FROM lw)""", _LEMMAS))
+def x7_lemma_overlap(spark, sf_dir):
+    """Keyword overlap on lemmas; the dictionary grows with the corpus and is joined."""
+    t = fx.turns(spark, sf_dir)
+    d = sim.lemma_overlap_prev(t, plural_lemmas(t), "overlap", STOPWORDS, map_limit=0)
+    return d.select("conversation_id", "turn_id", r6("overlap").alias("overlap"))
+
+
 def _all_emb_msg(spark, sf_dir):
     """Every turn; the embedding is null where there is none."""
     e = fx.emb_turns(spark, sf_dir).select("conversation_id", "turn_id", "embedding")

@@ -192,15 +192,20 @@ def hand_back(df: DataFrame, part: Sequence[str], order: str, values: DataFrame,
     The groups' values first reach a table of blocks (one row for each ``block_rows`` rows of a
     group), by grouping it together with them, and then the rows by a join on (group, block).
     """
-    part, cols = list(part), list(cols)
     laid = BLOCK in df.columns and order == LAID_ORDER and block_rows is None
-    b = BLOCK if laid else "_tw_hb"
-    d = df if laid else df.withColumn(b, block_of(df, order, block_rows))
-    blocks = d.select(*part, b).distinct()
-    both = blocks.select(*part, b, F.lit(None).cast(_struct_type(values, cols)).alias("_tw_val")) \
-        .unionByName(values.select(*part, F.lit(None).cast("long").alias(b), F.struct(*cols).alias("_tw_val")))
+    if laid:
+        return hand_back_by(df, part, BLOCK, values, cols)
+    return hand_back_by(df.withColumn("_tw_hb", block_of(df, order, block_rows)), part, "_tw_hb", values, cols).drop("_tw_hb")
+
+
+def hand_back_by(df: DataFrame, part: Sequence[str], block: str, values: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """:func:`hand_back` with blocks that the caller gave the rows (an integral column)."""
+    part, cols = list(part), list(cols)
+    blocks = df.select(*part, block).distinct()
+    both = blocks.select(*part, block, F.lit(None).cast(_struct_type(values, cols)).alias("_tw_val")) \
+        .unionByName(values.select(*part, F.lit(None).cast("long").alias(block), F.struct(*cols).alias("_tw_val")))
     # max ignores nulls: the one value of the group
-    got = both.select(*part, b, F.max("_tw_val").over(Window.partitionBy(*part)).alias("_tw_val")).where(F.col(b).isNotNull())
-    d = d.join(got, [*part, b], "left")
+    got = both.select(*part, block, F.max("_tw_val").over(Window.partitionBy(*part)).alias("_tw_val")).where(F.col(block).isNotNull())
+    d = df.join(got, [*part, block], "left")
     keep = [c for c in df.columns if c not in cols]
     return d.select(*keep, *[F.col(f"_tw_val.{c}").alias(c) for c in cols])
