@@ -117,9 +117,11 @@ def ordered_scan(df: DataFrame, part: Sequence[str], order: str,
                  group_max: Mapping[str, Column | str] | None = None,
                  group_min: Mapping[str, Column | str] | None = None,
                  prev_prefix: str = "prev_", next_prefix: str = "next_",
-                 block_rows: int | None = None) -> DataFrame:
+                 block_rows: int | None = None, block: str | None = None) -> DataFrame:
     """One skew-safe pass over each group of ``part`` in ``order``.
 
+    ``block``: a column that already cuts every group into consecutive blocks, in its own order.
+
     Adds ``prev_prefix + c`` (value on the previous row of the group) for each ``c`` in ``prev``,
     ``next_prefix + c`` (next row) for each ``c`` in ``nxt``, and for each ``out: expr``
 
@@ -143,12 +145,13 @@ def ordered_scan(df: DataFrame, part: Sequence[str], order: str,
     if nxt:
         kinds["next"], values["next"] = "next", F.struct(*[F.col(c) for c in nxt])
     laid = BLOCK in df.columns and order == LAID_ORDER and part and block_rows is None
+    block = block or (BLOCK if laid else None)
     longest = None
     if not part:  # one sequence: how long decides the height of the tree
         top = df.agg(F.max(order)).first()[0]
         longest = max(int(top or 0) + 1, rows + 1)
     d = df.select("*", *[v.alias(f"_tw_v_{o}") for o, v in values.items()])
-    d = _exclusive(d, part, order, kinds, rows, longest, 1, BLOCK if laid else None)
+    d = _exclusive(d, part, order, kinds, rows, longest, 1, block)
     outs = [F.col(c) for c in df.columns]
     outs += [F.col(f"_tw_x_prev.{c}").alias(prev_prefix + c) for c in prev]
     outs += [F.col(f"_tw_x_next.{c}").alias(next_prefix + c) for c in nxt]

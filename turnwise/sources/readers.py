@@ -10,6 +10,8 @@ come from ``posexplode`` and from the file's own line order
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import EOU, VALID_USERS, strip
 from ..plans.positions import dense_rank_of, with_position
-from ..plans.scan import with_running_sum
+from ..plans.scan import ordered_scan, with_running_sum
+from .splitting import csv_records, json_objects
 
 CONV, TURN = "conversation_id", "turn_id"
 
@@ -68,9 +71,25 @@ def explode_nested_json(df: DataFrame, json_col: str = "value",
                     "_t.knowledge_source", "_t.turn_rating")
 
 
-def read_nested_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """S1 from files: JSON Lines (one document per line), or whole-file documents."""
-    return explode_nested_json(read_text_lines(spark, path, whole_file), "value", ["line_no"])
+def read_nested_json(spark: SparkSession, path: str) -> DataFrame:
+    """S1 from files: any number of documents ``{conv_key: {"content": [turn, ...]}}``, one a line or over many lines.
+
+    One document may hold many conversations and one conversation many turns: a record is a turn
+    (:mod:`turnwise.sources.splitting`), and no document or conversation is brought together.
+    Columns as :func:`explode_nested_json`; other lists of objects in a conversation are not expected.
+    """
+    r = json_objects(spark, path)
+    # The record in which a conversation opens starts with its key.
+    opens = (F.col("deep") <= 1) & F.col("text").rlike(r'(?s)^[^"]*+"(?:[^"\\]|\\.)*+"\s*:\s*\{')
+    key = F.from_json(F.concat(F.lit('{"k":"'), F.regexp_extract("text", r'(?s)^[^"]*+"((?:[^"\\]|\\.)*+)"', 1), F.lit('"}')), "k string")["k"]
+    r = r.withColumn("opens", F.when(opens, 1).otherwise(0)).withColumn("at_key", F.when(opens, F.struct("rid", key.alias("k"))))
+    r = ordered_scan(r, ["f"], "rid", sums={"conv": "opens"}, last={"key": "at_key"}).where("turn")
+    r = ordered_scan(r, ["f", "conv"], "rid", sums={TURN: F.lit(1)})
+    # What stands before the turn itself: a comma, or all up to the list's bracket.
+    start = F.when(F.col("flat") == 0, F.regexp_replace("text", r'(?s)^[^"]*+(?:"(?:[^"\\]|\\.)*+"[^"]*+)*?"content"\s*:\s*\[', "")).otherwise(F.col("text"))
+    turn = F.from_json(F.concat(F.regexp_replace(start, r"^[\s,]*", ""), F.lit("}")), TURN_STRUCT)
+    r = r.select(F.col("key.k").alias("conversation_key"), F.struct("f", "conv").alias("conv_order"), (F.col(TURN) - 1).alias(TURN), turn.alias("_t"))
+    return r.select("conversation_key", "conv_order", TURN, "_t.agent", "_t.message", "_t.sentiment", "_t.knowledge_source", "_t.turn_rating")
 
 
 def number_conversations(df: DataFrame, key: str = "conversation_key",
@@ -105,23 +124,36 @@ def read_delimited(spark: SparkSession, path: str, sep: str = EOU) -> DataFrame:
     return explode_delimited(read_text_lines(spark, path), "value", "line_no", sep)
 
 
+def _csv_rows(records: DataFrame, schema: T.StructType | str, sep: str) -> DataFrame:
+    schema = schema if isinstance(schema, str) else schema.toDDL()
+    return records.select(F.from_csv("text", schema, {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
+
+
 def read_turns_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    index_cols: Sequence[str] = ("Unnamed: 0", "_c0", ""), multi_line: bool = True) -> DataFrame:
     """S3: CSV with a header; saved-index columns dropped.
 
-    With ``multi_line`` quoted fields may span lines, and a file is one task; without, files are split.
+    With ``multi_line`` quoted fields may span lines; a file is still read by as many tasks as it has
+    splits (:mod:`turnwise.sources.splitting`).  Without a schema every column is a string.
     """
-    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.csv(path)
+    if multi_line:
+        records = csv_records(spark, path)
+        if schema is None:
+            head = records.where("rid = 1").select("text").head()
+            names = next(csv.reader(io.StringIO(head["text"], newline=""))) if head else []
+            schema = T.StructType([T.StructField(n or f"_c{k}", T.StringType()) for k, n in enumerate(names)])
+        df = _csv_rows(records.where("rid > 1"), schema, ",")
+    else:
+        r = spark.read.option("header", True).option("escape", '"')
+        df = (r.schema(schema) if schema is not None else r).csv(path)
     return df.drop(*[c for c in index_cols if c in df.columns])
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     """Headerless tab-separated file with the given schema; ``multi_line`` as for S3."""
-    return spark.read.option("sep", "\t").option("header", False).option("multiLine", multi_line) \
-        .option("escape", '"').schema(schema).csv(path)
+    if multi_line:
+        return _csv_rows(csv_records(spark, path), schema, "\t")
+    return spark.read.option("sep", "\t").option("header", False).option("escape", '"').schema(schema).csv(path)
 
 
 def parse_transcript(df: DataFrame, id_col: str, text_col: str,
