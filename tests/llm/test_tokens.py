@@ -144,7 +144,7 @@ def test_packing_of_documents(spark, docs, texts, odd, none):
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     counts = Counter(rng.integers(1, 101, 5000).tolist()) + Counter({40: 2500})
-    used = packing.plan(dict(counts), 100, rounds=200)
+    used = packing.plan(dict(counts), 100)
     placed = Counter()
     for config, n in used.items():
         assert sum(s * m for s, m in config) <= 100
@@ -155,3 +155,20 @@ def test_plan_uses_every_piece_once(seed):
     left = Counter(counts)
     whole = left.pop(100)
     assert sum(used.values()) <= 1.001 * (whole + sum(packing.best_fit(left, 100).values())) + 2
+
+
+def test_the_program_places_the_pieces():
+    """With many pieces of each length nearly all are placed by the program, and few sequences are lost."""
+    rng = np.random.default_rng(3)
+    lengths = Counter(np.clip(rng.lognormal(5.5, 0.9, 4000), 2, 511).astype(int).tolist())
+    counts = {s: 100 * n for s, n in lengths.items()}
+    used, left = packing.by_program(counts, 512)
+    placed = Counter()
+    for config, n in used.items():
+        assert sum(s * m for s, m in config) <= 512
+        for s, m in config:
+            placed[s] += n * m
+    assert placed + left == Counter(counts)
+    assert sum(left.values()) <= 0.05 * sum(counts.values())
+    every = sum(packing.plan(counts, 512).values())
+    assert every <= 1.01 * sum(s * n for s, n in counts.items()) / 512

@@ -3,12 +3,13 @@
 Pieces of whole length fill a sequence each.  The others are only a histogram over lengths
 below the capacity, whatever the number of documents.  The fractional program "cover every
 length's count with configurations (multisets of lengths within the capacity)" is solved by
-multiplicative weights: prices grow for lengths covered least, and a knapsack dynamic program
-finds the most valuable configuration for the prices.  The solution is rounded down, and the
-few pieces left over are packed best fit, longest first, on the histogram.
+multiplicative weights: prices fall for lengths covered most, and a knapsack dynamic program
+finds the most valuable configuration for the prices.  The solution is rounded down, solved again
+for what is left, and the pieces that no whole configuration takes (their number depends on the
+histogram's lengths, not on the pieces) are packed best fit, longest first, on the histogram.
 
-Assigning pieces to places is arithmetic: the pieces of a length are numbered (salted, so a
-length that a third of the pieces share is split), and a place table, whose size depends on the
+Assigning pieces to places is arithmetic: the pieces of a length are numbered (salted by the
+number of partitions, so a length that a third of the pieces share is split), and a place table, whose size depends on the
 histogram only, maps a number to its sequence and offset.
 
 Defined results: null text is empty (the end id alone); null and repeated ids are separate
@@ -96,32 +97,37 @@ def configuration(take: np.ndarray, room: int, first: int) -> Counter:
     return +config
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, eps: float) -> dict[tuple, float]:
-    """Configurations and their (fractional) numbers, using no length more often than it occurs.
+def fractional(counts: dict[int, int], capacity: int, covers: float = 2.0, eps: float = 0.1,
+               eta: float = 1.0, ahead: float = 0.3) -> dict[tuple, float]:
+    """Configurations and their (fractional) numbers, which cover the lengths' counts about evenly.
 
-    Multiplicative weights for the covering program.  A round prices every length by its weight
-    per piece, runs the knapsack once, and buys the best filling around each of the dearest
-    lengths, as often as ``eps`` of the scarcest length in it allows (width-independent steps).
-    What a purchase covers loses weight.  The sum is scaled at the end so that the length covered
-    most is used up; coverage is even by then, so little is left for the rounding.
+    Multiplicative weights for the covering program.  A length's price is its share of a sequence
+    (the price at the program's optimum where sequences can be filled) times a weight that falls
+    by ``exp(-eta)`` with each cover; a length that is ``ahead`` of the least covered one is not on
+    offer.  A round runs the knapsack once and buys the best filling around each of the lengths
+    covered least, as often as ``eps`` of the scarcest length in it allows (width-independent
+    steps).  After ``covers`` covers the numbers are divided by the mean cover; the lengths' covers
+    are then within a few per cent of one, and rounding takes what is above.
     """
+    if not counts:
+        return {}
     sizes = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(s)] for s in sizes], float)
     index = {int(s): i for i, s in enumerate(sizes)}
-    covered = np.zeros(len(sizes))
+    covered, tokens = np.zeros(len(sizes)), need * sizes
     bought: Counter = Counter()
-    for _ in range(rounds):
+    while (mean := covered @ tokens / tokens.sum()) < covers:
+        lead = covered - covered.min()
         value = np.zeros(capacity + 1)
-        value[sizes] = np.exp((covered.min() - covered) / eps) / need
+        value[sizes] = np.where(lead > ahead, 0.0, sizes * np.exp(-eta * lead))
         take = knapsack(value, capacity)
-        for i in np.argsort(covered, kind="stable")[:8]:
+        for i in np.argsort(covered, kind="stable")[:16]:
             config = configuration(take, capacity, int(sizes[i]))
-            at = [index[s] for s in config]
-            share = np.array(list(config.values())) / need[at]
-            step = eps / share.max()
+            at, times = np.array([index[s] for s in config]), np.array(list(config.values()), float)
+            step = eps * (need[at] / times).min()
             bought[tuple(sorted(config.items()))] += step
-            covered[at] += step * share
-    return {c: x / covered.max() for c, x in bought.items()} if len(sizes) else {}
+            covered[at] += step * times / need[at]
+    return {c: x / mean for c, x in bought.items()}
 
 
 def best_fit(left: Counter, capacity: int) -> Counter:
@@ -146,45 +152,40 @@ def best_fit(left: Counter, capacity: int) -> Counter:
     return done
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 400, eps: float = 0.25) -> Counter:
+def by_program(counts: dict[int, int], capacity: int) -> tuple[Counter, Counter]:
+    """Configurations of the program, rounded down, and the pieces that rounding left.
+
+    The program is solved again for what is left as long as a solution places nine tenths of its
+    pieces; then most lengths are left a few times only, less often than whole configurations take."""
+    used: Counter = Counter()
+    left = Counter(counts)
+    while left:
+        before = sum(left.values())
+        for config, x in sorted(fractional(dict(left), capacity).items(), key=lambda p: (-p[1], p[0])):
+            # Rounded down, and no more often than there are pieces of each of its lengths.
+            n = min([int(x + 1e-9), *(left[s] // m for s, m in config)])
+            if n:
+                used[config] += n
+                for s, m in config:
+                    left[s] -= n * m
+        left = +left
+        if sum(left.values()) > before / 10:
+            break
+    return used, left
+
+
+def plan(counts: dict[int, int], capacity: int) -> Counter:
     """Configurations ``((length, times), ...)`` and how many sequences use each."""
     counts = {s: n for s, n in counts.items() if n}
     full = counts.pop(capacity, 0)
-    used: Counter = Counter()
-    left = Counter(counts)
-    share = fractional(counts, capacity, rounds, eps) if counts else {}
-    for config, x in sorted(share.items(), key=lambda p: -p[1]):
-        # Rounded down, and no more often than there are pieces of each of its lengths.
-        n = min([int(x + 1e-9), *(left[s] // m for s, m in config)])
-        if n:
-            used[config] += n
-            for s, m in config:
-                left[s] -= n * m
-    # What rounding left is still a histogram: whole patterns of it first, then single pieces.
-    used.update(greedy_patterns(left, capacity))
-    used.update(best_fit(+left, capacity))
+    used, left = by_program(counts, capacity)
+    # Rounding leaves less than a sequence per configuration: a number that the histogram bounds.
+    used.update(best_fit(left, capacity))
     if full:
         used[((capacity, 1),)] += full
     return used
 
 
-def greedy_patterns(left: Counter, capacity: int) -> Counter:
-    """Pack ``left`` in place, longest first with the longest that fits, a pattern many times at once."""
-    used: Counter = Counter()
-    while sum(left.values()) > 20_000:
-        config: Counter = Counter()
-        room = capacity
-        for s in sorted((s for s in left if left[s] > 0), reverse=True):
-            m = min(room // s, left[s])
-            if m:
-                config[s], room = m, room - s * m
-        n = max(1, min(left[s] // m for s, m in config.items()))
-        used[tuple(sorted(config.items()))] += n
-        for s, m in config.items():
-            left[s] -= n * m
-    return used
-
-
 def places(used: Counter) -> dict[int, np.ndarray]:
     """For each length its places as rows ``(first number, first sequence, offset)``.
 
@@ -205,13 +206,15 @@ def places(used: Counter) -> dict[int, np.ndarray]:
     return {s: np.array(r, np.int64) for s, r in rows.items()}
 
 
-def pack_pieces(cut_pieces: DataFrame, capacity: int, salt_rows: int = 100_000) -> DataFrame:
+def pack_pieces(cut_pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a written table of pieces."""
     spark = cut_pieces.sparkSession
     # At most ``capacity`` rows come to the driver.
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(counts, capacity))
-    salts = {s: n // salt_rows + 1 for s, n in counts.items()}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, sum(counts.values()) // (4 * parts))  # a quarter of an even partition
+    salts = {s: n // share + 1 for s, n in counts.items()}
     salted = cut_pieces.join(
         F.broadcast(spark.createDataFrame([(s, n) for s, n in salts.items()], "length long, salts long")), "length")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
@@ -219,7 +222,7 @@ def pack_pieces(cut_pieces: DataFrame, capacity: int, salt_rows: int = 100_000)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = stored(groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "salts")
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    # Few keys differ in number by a lot, so the rows are dealt by (length, salt): at most salt_rows a key.
+    # The rows are dealt by (length, salt), about a quarter of a partition a key.
     numbered = salted.withColumn("r", F.row_number().over(inside) - 1).join(groups, ["length", "salt"])
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r")).alias("number"))
     shared = spark.sparkContext.broadcast(table)  # its size depends on the histogram, not on the rows
