@@ -102,4 +102,4 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "d
     # Rows may share an id, also a null one: the text's hash tells them apart.
     bad = find(docs, items, window, id_col, text_col, hashed=True).where("contaminated")
     bad = stored(bad.select(F.col(id_col).alias("_bad"), F.col("th").alias("_th")).distinct(), "bad")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_th"]), "left_anti")

@@ -165,4 +165,4 @@ def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def keep_known(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``docs`` without the documents whose language ``identify`` rejects."""
     bad = stored(identify(docs, pages).where("rejected").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"]), "left_anti")

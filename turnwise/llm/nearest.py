@@ -15,7 +15,8 @@ queries into chunks of ``QUERIES``, each pair of chunks one task-sized cell, so
 third of the table shares is spread.  Each cell returns at most ``k`` rows per query.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part; a query never finds its own id; if there are fewer than
+non-finite components take no part; a query never finds its own id; rows that share an id are
+candidates each, and one query (their least vector); if there are fewer than
 ``k`` candidates all are returned; equal scores go by smaller id; an empty table gives no rows;
 other columns are not read.
 """
@@ -156,7 +157,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 out += [(i, v, int(c), j < home) for j, c in enumerate(near[:max(home, probed)])]
             yield pd.DataFrame(out, columns=["query_id", "q", "list", "home"])
 
-    asked = stored(rows.where(is_query).mapInPandas(probes, "query_id long, q array<double>, list int, home boolean"), "probes")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))  # an id is one query
+    asked = stored(queries.mapInPandas(probes, "query_id long, q array<double>, list int, home boolean"), "probes")
 
     def cells(queries: DataFrame, name: str) -> DataFrame:
         asked_of = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, stored
@@ -173,13 +173,15 @@ def one_of_each(docs: DataFrame, words: int, radius: int) -> DataFrame:
     rows, of_fp = grouped(docs, words, radius, "doc_id", "text")
     first = rows.join(of_fp, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("f"))
     first = stored(first.select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th")), "first-of-each")
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    kept = docs.join(first, key, "left_semi")
+    def same(keys: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_th"])
+
+    kept = docs.join(first, same(first), "left_semi")
     # Rows that share id and text; only theirs are gathered.
     again = kept.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).agg(F.count("*").alias("_n"))
     again = stored(again.where("_n > 1").select("_id", "_th"), "repeated-rows")
     if again.isEmpty():
         return kept
-    rest = kept.join(again, key, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_th"))
+    rest = kept.join(again, same(again), "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_th"))
     rest = rest.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(again, key, "left_anti").union(rest)
+    return kept.join(again, same(again), "left_anti").union(rest)
