@@ -6,9 +6,10 @@ itself, by a learned layer.  Gated attention, ``softmax(w . (tanh(V h) * sigmoid
 weighs the passages; the weighted sum is scored by a logistic layer.  Labels are per document
 only; all weights are learned together from them.
 
-The model is fitted on a bounded sample: the ``SAMPLE`` labelled documents with the smallest
-hashes, and of a document in it at most ``SAMPLE_PASSAGES`` evenly spread passages.  Scoring
-reads all passages of every whole text, in one narrow pass without a shuffle.
+The model is fitted on a bounded sample of labelled documents: those with the smallest hashes,
+``SAMPLE`` at most and as many as have ``SAMPLE_PASSAGES`` passages together (one at least), each
+with all its passages.  Scoring reads all passages of every whole text, in one narrow pass
+without a shuffle.
 
 Defined results: a null or empty text is one empty passage; null labels teach nothing; a document
 with several labels counts once for each; without any label every score is 0.5; repeated rows
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 PASSAGE = 512
-SAMPLE, SAMPLE_PASSAGES = 4000, 16
+SAMPLE, SAMPLE_PASSAGES = 4000, 200_000
 FEATURES = 16 * 16 + 2
 HIDDEN, GATE = 24, 16
 
@@ -127,6 +128,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column) -> dict | None:
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE)
+    texts = docs.select(F.col(id_col).alias("id"), F.octet_length(F.col(text_col)).alias("size")).join(F.broadcast(picked), "id")
+    sizes = texts.groupBy("id", "y").agg(F.sum(F.ceil(F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)) / PASSAGE)).alias("n"), F.xxhash64("id").alias("h"))
+    sizes = sizes.orderBy("h", "id", "y").toPandas()  # SAMPLE rows
+    if not len(sizes):
+        return None
+    sizes = sizes[(sizes["n"].cumsum() <= SAMPLE_PASSAGES) | (np.arange(len(sizes)) == 0)]
+    kind = picked.schema["id"].dataType.simpleString()
+    picked = docs.sparkSession.createDataFrame([(i, float(y)) for i, y in zip(sizes["id"].tolist(), sizes["y"].tolist())], f"id {kind}, y double")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # SAMPLE rows
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +143,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             rows = []
             for t, y in zip(df["text"], df["y"]):
                 x, _ = encode([t or ""])
-                x = x[np.unique(np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).round().astype(int))]
                 rows.append((x.astype(np.float16).tobytes(), y))
             yield pd.DataFrame(rows, columns=["x", "y"])
 
