@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -72,32 +72,34 @@ class PieceEncoder:
         return out
 
     def _learn(self, missing: list[str]) -> None:
-        """Ids of unknown pieces, remembered while there is room and else kept for this batch."""
-        memo, extra = self.memo, {}
-        plain, tailed = [], []
+        base, tail = [], []
         for p in missing:
-            if p[-1:] in _TAIL:
-                s = p.rstrip(_TAIL)
-                if s and s[-1].isalpha():
-                    tailed.append((p, s, p[len(s):]))
-                    continue
-            plain.append(p)
-        tails = self.tails
-        new_tails = [t for t in {t for _, _, t in tailed} if t not in tails]
+            s = p.rstrip(_TAIL)
+            if s and len(s) < len(p) and s[-1].isalpha():
+                base.append(s)
+                tail.append(p[len(s):])
+            else:
+                base.append(p)
+                tail.append("")
+        new_tails = [t for t in set(tail) if t and t not in self.tails]
         if new_tails:
-            if len(tails) > 100_000:
-                tails.clear()
-                new_tails = list({t for _, _, t in tailed})
-            tails.update(zip(new_tails, self._library(new_tails)))
-        need = list(({s for _, s, _ in tailed}.union(plain)) - memo.keys())
-        got = memo if len(memo) < self.limit else extra
-        got.update(zip(need, self._bases(need)))
-        if got is memo:
-            got.update([(p, memo[s] + tails[t]) for p, s, t in tailed])
-        else:
-            known = memo.get
-            got.update([(p, (known(s) or extra[s]) + tails[t]) for p, s, t in tailed])
-        memo.extra = extra
+            if len(self.tails) > 100_000:
+                self.tails.clear()
+                new_tails = [t for t in set(tail) if t]
+            self.tails.update(zip(new_tails, self._library(new_tails)))
+        need = list(set(filterfalse(self.memo.__contains__, base)))
+        got = dict(zip(need, self._bases(need)))
+        keep = len(self.memo) < self.limit
+        extra = {} if not keep else self.memo
+        if keep:
+            self.memo.update(got)
+        self.memo.extra = got if not keep else {}
+        for p, s, t in zip(missing, base, tail):
+            if t:
+                extra[p] = self.memo[s] + self.tails[t]
+        if not keep:
+            extra.update(got)
+            self.memo.extra = extra
 
     def rest(self, keep: int = 100_000) -> None:
         """Forget all but the first pieces learned (the frequent ones) when a task ends, so that
@@ -119,13 +121,14 @@ class PieceEncoder:
             firsts = self._library([p[0] for p in split]) if self.lead else []
             if self.lead:
                 split = [p[1:] for p in split]
-            missing = set().union(*split) - self.memo.keys()
-            if missing:
-                self._learn(list(missing))
-            known = self.memo.__getitem__
-            for k, (i, p) in enumerate(zip(todo, split)):
-                ids = b"".join(map(known, p))
-                res[i] = firsts[k] + ids if self.lead else ids
+            known = self.memo.get
+            found = [list(map(known, p)) for p in split]
+            gaps = [[j for j, ids in enumerate(f) if ids is None] for f in found]
+            self._learn(list({p[j] for p, g in zip(split, gaps) for j in g}))
+            for k, (i, p, f, g) in enumerate(zip(todo, split, found, gaps)):
+                for j in g:
+                    f[j] = self.memo[p[j]]
+                res[i] = firsts[k] + b"".join(f) if self.lead else b"".join(f)
             self.memo.extra = {}
             out += res
         return out
