@@ -64,8 +64,9 @@ def _stack_sql(step: int) -> str:
 
 
 def _stack(spark, sf_dir, mode):
-    parts = [fx.topic_turns(spark, sf_dir).withColumn("source", F.lit("topic")),
-             fx.event_turns(spark, sf_dir).withColumn("source", F.lit("events")),
+    # Ids and turns only: the segmented views have the same rows.
+    parts = [fx.turns(spark, sf_dir).withColumn("source", F.lit("topic")),
+             fx.ranked_events(spark, sf_dir).withColumn("source", F.lit("events")),
              fx.doc_turns(spark, sf_dir).withColumn("source", F.lit("docs"))]
     parts = [p.select("source", "conversation_id", "turn_id") for p in parts]
     return joins.stack(ids.offset_ids(parts, mode=mode))

@@ -104,13 +104,17 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events``: user = conversation, rank by (ts, event_id) = turn, event type = key; laid out."""
+    """``ranked_events``, laid out by (conversation, block of turns)."""
+    return laid_out(ranked_events(spark, sf_dir), ["conversation_id"])
+
+
+def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events``: user = conversation, rank by (ts, event_id) = turn, event type = key."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     r = with_group_rank(e, ["user_id"], [F.col("ts"), F.col("event_id")], "turn_id")
-    d = r.select(F.col("user_id").alias("conversation_id"), "turn_id",
-                 F.col("props").alias("message"), F.col("event_type").alias("knowledge_source"),
-                 F.when(F.col("value") < 10, "low").otherwise("high").alias("agent"))
-    return laid_out(d, ["conversation_id"])
+    return r.select(F.col("user_id").alias("conversation_id"), "turn_id",
+                    F.col("props").alias("message"), F.col("event_type").alias("knowledge_source"),
+                    F.when(F.col("value") < 10, "low").otherwise("high").alias("agent"))
 
 
 def doc_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
