@@ -64,12 +64,17 @@ def _block_value(kind: str, v: Column, order: str) -> Column:
     return {"sum": F.sum, "total": F.sum, "max": F.max, "total_max": F.max, "min_after": F.min, "total_min": F.min}[kind](v)
 
 
-def _inside(kind: str, v: Column, w, whole: bool) -> Column | None:
-    """``whole``: the window is the group, not a block (totals then come from it as well)."""
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _inside(kind: str, v: Column, keys: Sequence[str], order: str, whole: bool) -> Column | None:
+    """``whole``: the window is the group, not a block (totals then come from it as well).
+
+    What follows a row is what precedes it in descending order: a frame that ends with the group is
+    added up anew for every row, which grows with the square of a block."""
+    every = Window.partitionBy(*keys) if keys else Window
+    w, back = every.orderBy(order), every.orderBy(F.col(order).desc())
+    before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, back))
+    whole_group = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if kind.startswith("total"):
-        return {"total": F.sum, "total_max": F.max, "total_min": F.min}[kind](v).over(every) if whole else None
+        return {"total": F.sum, "total_max": F.max, "total_min": F.min}[kind](v).over(whole_group) if whole else None
     return {"sum": lambda: F.coalesce(F.sum(v).over(before), F.lit(0)), "max": lambda: F.max(v).over(before),
             "min_after": lambda: F.min(v).over(after), "prev": lambda: F.lag(v).over(w), "next": lambda: F.lead(v).over(w)}[kind]()
 
@@ -90,14 +95,12 @@ def _exclusive(table: DataFrame, part: Sequence[str], order: str, kinds: Mapping
 
     ``longest``: how many rows a group may have; blocks are made if that is more than ``rows``."""
     if longest is not None and longest <= max(rows, 2):
-        w = (Window.partitionBy(*part) if part else Window).orderBy(order)
-        return table.select("*", *[_inside(k, F.col(f"_tw_v_{o}"), w, True).alias(f"_tw_x_{o}") for o, k in kinds.items()])
+        return table.select("*", *[_inside(k, F.col(f"_tw_v_{o}"), part, order, True).alias(f"_tw_x_{o}") for o, k in kinds.items()])
     b = block or f"_tw_b{level}"
     d = table if block else table.withColumn(b, F.floor(F.col(order) / rows).cast("long"))
     keys = [*part, b]
-    w = Window.partitionBy(*keys).orderBy(order)
     edges = d.groupBy(*keys).agg(*[_block_value(k, F.col(f"_tw_v_{o}"), order).alias(f"_tw_v_{o}") for o, k in kinds.items()])
-    inside = {o: _inside(k, F.col(f"_tw_v_{o}"), w, False) for o, k in kinds.items()}
+    inside = {o: _inside(k, F.col(f"_tw_v_{o}"), keys, order, False) for o, k in kinds.items()}
     d = d.select("*", *[c.alias(f"_tw_i_{o}") for o, c in inside.items() if c is not None])
     # A group's blocks are few (one for each ``rows`` rows); the whole table's may be many.
     up = _exclusive(edges, part, b, kinds, rows, max(rows, 2) if part else -(-longest // rows), level + 1)
