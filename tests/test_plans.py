@@ -94,3 +94,20 @@ def test_chained_scans_share_their_ordering(spark, name):
     import __spark_entry__ as E
     n = sum(p.count("Exchange hashpartitioning") for p in plans_of(E.queries()[name], spark))
     assert n <= BEFORE[name] / 3, n
+
+
+WORKED_OUT = "regexp_extract_all"
+
+
+@pytest.mark.parametrize("name", ["m11_boundary_mae", "m12_segmentation_report"])
+def test_labels_are_stored_before_they_are_ordered(spark, name):
+    """Range bounds are sampled from what is dealt: that must be stored labels, not the work that makes them."""
+    import __spark_entry__ as E
+    made = [p for p in plans_of(E.queries()[name], spark) if WORKED_OUT in p]
+    assert len(made) == 1 and "rangepartitioning" not in made[0]
+
+
+def test_labels_of_a_conversation_are_worked_out_once(spark):
+    import __spark_entry__ as E
+    made = [p for p in plans_of(E.queries()["m12_segmentation_report_conversation"], spark) if WORKED_OUT in p]
+    assert len(made) == 1 and made[0].count("Window") < 10  # one scan of the turns

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.positions import with_position
-from ..plans.scan import ordered_scan
+from ..plans.scan import BLOCK, LAID_ORDER, laid_out, ordered_scan
+from ..session import cut_lineage
 from .ids import attach_scalar
 from .segment import boundaries, keep
 
@@ -88,14 +89,17 @@ def sequence_boundaries(df: DataFrame, true_col: str, pred_col: str, scope: str
     ``scope='global'``: one sequence over the whole table in (conversation,
     turn) order (the reference); ``'conversation'``: one per conversation.
     """
-    d = df.select(conv, turn, true_col, pred_col)
     if scope == "global":
-        d = with_position(d, [conv, turn], "pos")
+        # Range bounds are sampled from the rows that are dealt: stored first, labels are not worked out for that as well.
+        d = with_position(cut_lineage(df.select(conv, turn, true_col, pred_col)), [conv, turn], "pos")
         d = boundaries(d, [true_col, pred_col], ["tb", "pb"], "global", conv, turn, pos="pos")
         return d.select("pos", "tb", "pb")
     if scope == "conversation":
         labels = [true_col, pred_col]
-        d = ordered_scan(keep(df, conv, turn, *labels), [conv], turn, prev=labels, sums={"pos": F.lit(1)}, totals={"n": F.lit(1)})
+        # The scan and the scores read the labels several times; they are worked out once.
+        d = keep(df, conv, turn, *labels)
+        d = laid_out(d, [conv], dealt=BLOCK in df.columns) if turn == LAID_ORDER else cut_lineage(d)
+        d = ordered_scan(d, [conv], turn, prev=labels, sums={"pos": F.lit(1)}, totals={"n": F.lit(1)})
         flags = [F.when(F.col("prev_" + c) != F.col(c), 1).otherwise(0).cast("int").alias(o) for c, o in zip(labels, ("tb", "pb"))]
         return d.select(conv, (F.col("pos") - 1).alias("pos"), *flags, "n")
     raise ValueError("scope must be 'global' or 'conversation'")

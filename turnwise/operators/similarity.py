@@ -118,19 +118,23 @@ def _kw_set(c, stopwords: Sequence[str]):
     return t
 
 
+def _jaccard(sa, sb):
+    return F.size(F.array_intersect(sa, sb)) / (F.size(F.array_union(sa, sb)) + F.lit(1e-6))
+
+
 def keyword_overlap(a, b, stopwords: Sequence[str] = ()):
     """Jaccard of the distinct non-stop tokens, ``|A & B| / (|A | B| + 1e-6)``."""
-    sa, sb = _kw_set(a, stopwords), _kw_set(b, stopwords)
-    return F.size(F.array_intersect(sa, sb)) / (F.size(F.array_union(sa, sb)) + F.lit(1e-6))
+    return _jaccard(_kw_set(a, stopwords), _kw_set(b, stopwords))
 
 
 def keyword_overlap_prev(df: DataFrame, out: str, stopwords: Sequence[str] = (),
                          conv: str = CONV, turn: str = TURN) -> DataFrame:
     """Keyword overlap of each turn with the previous one (null on the first turn)."""
     d = with_prev(df, [conv], turn, ["message", turn], prefix="_kp_")
-    ov = F.when(F.col("_kp_" + turn).isNotNull(),
-                keyword_overlap(F.col("_kp_message"), F.col("message"), stopwords))
-    return d.withColumn(out, ov).drop("_kp_message", "_kp_" + turn)
+    # As columns of their own the sets are made once a row, not once for each use in the quotient.
+    d = d.withColumn("_kp_a", _kw_set(F.col("_kp_message"), stopwords)).withColumn("_kp_b", _kw_set(F.col("message"), stopwords))
+    ov = F.when(F.col("_kp_" + turn).isNotNull(), _jaccard(F.col("_kp_a"), F.col("_kp_b")))
+    return d.withColumn(out, ov).drop("_kp_message", "_kp_" + turn, "_kp_a", "_kp_b")
 
 
 MAP_LEMMAS = 1000  # a dictionary up to this size is looked up inside the row
