@@ -142,6 +142,14 @@ def test_ratio_rounds_like_python(spark):
         assert r["single_turn_ratio"] == (round(s / n, 3) if n else 0), (s, n)
 
 
+def test_shift_positive_counts(spark, blocks):
+    """J7 counts, of conversations inside one block and of others in one table, silent turns included."""
+    rows = talk(30)
+    want = partners(rows, "shift_positive")
+    got = pairs.shift_positive(laid_out(spark.createDataFrame(rows, SCHEMA), ["conversation_id"])).collect()
+    assert {tuple(r)[:3]: r["n_pairs"] for r in got} == {x[:3]: len(want[x[:3]]) for x in rows} and len(got) == len(rows)
+
+
 def test_what_follows_a_row_costs_no_square(spark):
     """``coming`` and group minima add up in one direction: no frame is taken anew for every row."""
     df = spark.range(200_000).select(F.lit(1).alias("conversation_id"), F.col("id").alias("turn_id"))

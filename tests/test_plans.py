@@ -111,3 +111,20 @@ def test_labels_of_a_conversation_are_worked_out_once(spark):
     import __spark_entry__ as E
     made = [p for p in plans_of(E.queries()["m12_segmentation_report_conversation"], spark) if WORKED_OUT in p]
     assert len(made) == 1 and made[0].count("Window") < 10  # one scan of the turns
+
+
+@pytest.mark.parametrize("name", ["j7_shift_positive", "j7_drawn_pairs", "j9_contrastive_pairs"])
+def test_partners_in_a_block_meet_without_an_exchange(spark, name):
+    """Of the stored rows only the block table (no message) is dealt anew."""
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        *_, result = plans_of(E.queries()[name], spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = result.splitlines()
+    after = [lines[i + 1] for i, x in enumerate(lines) if "Exchange " in x]
+    assert all("message" not in x and "Aggregate" in x or "Window [" in x and "message" not in x or "Project [" in x and "message" not in x for x in after), after
+    assert "rangepartitioning" not in result
+    # A draw hashes its bits alone: starts and shifts of the permutation are made once an anchor.
+    assert not any("Generate" in x and "conv(" in x for x in lines)

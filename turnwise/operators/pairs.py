@@ -14,8 +14,9 @@ family                      partners of anchor ``a`` (same conversation)
 All pairs grow with the square of a conversation's length.  Here the partners of an anchor are
 ranks ``0 .. n_pairs - 1`` of an order in which they follow each other, so that their number needs
 no pairing, and ``per_anchor`` of them are drawn as ranks: a seeded permutation of the ranks,
-evaluated at ``0, 1, ...`` (:func:`permuted`), gives distinct partners without listing any.  One
-equi-join on (conversation, segment, place) fetches their messages.  ``per_anchor`` at least
+evaluated at ``0, 1, ...`` (:func:`permuted`), gives distinct partners without listing any.  Where
+a conversation lies in one block of turns, partners meet inside the block, by windows over the
+stored order; elsewhere an equi-join on (conversation, segment, place) fetches them.  ``per_anchor`` at least
 ``n_pairs`` gives every pair.
 
 Counts and places come from block-wise scans; no join or window is keyed by a conversation alone.
@@ -24,12 +25,14 @@ Turns whose message is null are no J7 partners and have none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import portable_hash
 from ..plans.positions import with_group_rank
-from ..plans.scan import hand_back, ordered_scan
+from ..plans.scan import BLOCK, block_of, hand_back, ordered_scan
 from .segment import keep
 
 CONV, SEG, TURN = "conversation_id", "sub_conversation_id", "turn_id"
@@ -46,21 +49,31 @@ LABELS = {"coherence_positive": "positive", "coherence_negative": "negative",
           "shift_positive": "positive", "shift_negative": "negative"}
 
 
-def permuted(i: Column, n: Column, key: list[Column], rounds: int = ROUNDS) -> Column:
+def rounds_of(key: list[Column], rounds: int = ROUNDS) -> Column:
+    """What the rounds of a key's permutation have in common for all values: a start and a ``k`` a round.
+
+    As a column of the anchor it is hashed once, for all its draws."""
+    at = F.array(*[portable_hash(*key, F.lit(r), F.lit("k")) for r in range(1, rounds + 1)])
+    return F.struct(F.concat_ws("|", *key).alias("key"), portable_hash(*key, F.lit("start")).alias("start"), at.alias("k"))
+
+
+def permuted(i: Column, n: Column, key: list[Column], rounds: int = ROUNDS, made: Column | None = None) -> Column:
     """The value at ``i`` of a seeded permutation of ``0 .. n - 1``, for any ``n``.
 
     A rotation, then rounds of swap-or-not: in each, ``x`` and ``k - x`` (mod ``n``) change places
-    or stay, by a bit that both of them see.
+    or stay, by a bit that both of them see.  ``made``: :func:`rounds_of` of the key, if it is a column.
     """
-    n = n.cast("long")
-    start = (i.cast("long") + portable_hash(*key, F.lit("start")) % n) % n
+    n, m = n.cast("long"), rounds_of(key, rounds) if made is None else made
+    start = (i.cast("long") + m["start"] % n) % n
 
     def swap(x, r):
-        other = F.pmod(portable_hash(*key, r, F.lit("k")) - x, n)
-        bit = portable_hash(*key, r, F.greatest(x, other)) % 2
-        return F.when(bit == 1, other).otherwise(x)
+        other = F.pmod(r["k"] - x, n)
+        # The last bit of ``portable_hash(*key, r, larger)``, read from its last digit.
+        digit = F.substring(F.md5(F.concat_ws("|", r["key"], r["r"], F.greatest(x, other).cast("string"))), 8, 1)
+        return F.when(digit.isin(*"13579bdf"), other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, swap)
+    each = F.transform(m["k"], lambda k, r: F.struct(k.alias("k"), (r + 1).cast("string").alias("r"), m["key"].alias("key")))
+    return F.aggregate(each, start, swap)
 
 
 def segment_order(df: DataFrame) -> DataFrame:
@@ -74,43 +87,76 @@ def segment_order(df: DataFrame) -> DataFrame:
     return ordered_scan(s, [CONV], "first_turn", sums={"cum_len": "seg_len"}, totals={"conv_len": "seg_len"})
 
 
-# An anchor table has ``n_pairs`` and ``_base``: its partner of rank r stands at place ``_base + r``
-# (J7: plus the places of its own message, if it is not before them).  A place table has the places
-# of the partners, by ``keys``.
+# A family's table has ``n_pairs`` and ``_base``: a row's partner of rank r stands at place ``_base + r``
+# (J7: plus the places of its own message, if it is not before them).  ``_place`` is the row's own
+# place among the partners, null if it is none.  Places count by the keys that come with the table.
 
-def _coherence_positive(df: DataFrame, message: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+def _coherence_positive(df: DataFrame, message: str | None) -> tuple[DataFrame, list[str]]:
     base = keep(df, CONV, SEG, TURN, *([message] if message else []))
     d = ordered_scan(base, [CONV, SEG], TURN, sums={"_r": F.lit(1)}, totals={"_len": F.lit(1)})
     d = d.withColumn("n_pairs", F.col("_len") - F.col("_r")).withColumn("_base", F.col("_r")).withColumn("_place", F.col("_r") - 1)
-    return d, d, [CONV, SEG]
+    return d, [CONV, SEG]
 
 
-def _coherence_negative(df: DataFrame, message: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+def _coherence_negative(df: DataFrame, message: str | None) -> tuple[DataFrame, list[str]]:
     base = keep(df, CONV, SEG, TURN, *([message] if message else []))
     s = segment_order(df).select(CONV, SEG, (F.col("conv_len") - F.col("cum_len")).alias("n_pairs"), F.col("cum_len").alias("_base"),
                                  (F.col("cum_len") - F.col("seg_len")).alias("_before"))
     if not message:
-        return hand_back(base, [CONV, SEG], TURN, s, ["n_pairs"]), base, [CONV]
+        return hand_back(base, [CONV, SEG], TURN, s, ["n_pairs"]), [CONV]
     d = ordered_scan(base, [CONV, SEG], TURN, sums={"_r": F.lit(1)})
     d = hand_back(d, [CONV, SEG], TURN, s, ["n_pairs", "_base", "_before"]).withColumn("_place", F.col("_before") + F.col("_r") - 1)
-    return d, d, [CONV]
+    return d, [CONV]
+
+
+def _runs_inside(df: DataFrame, message: str) -> DataFrame:
+    """J7 where no segment leaves its block: windows over the rows as they are laid out."""
+    d = df.where(F.col(message).isNotNull()).select(CONV, SEG, TURN, BLOCK, message)
+    group = Window.partitionBy(CONV, BLOCK, SEG)
+    alike, upto = group.orderBy(message), (Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_place", F.row_number().over(group.orderBy(message, TURN)).cast("long") - 1)
+    d = d.select("*", F.rank().over(alike).cast("long").alias("_lo"), F.count(F.lit(1)).over(alike.rangeBetween(*upto)).alias("_hi"))
+    # as a join by segment would have it, the rows without one have no partners
+    d = d.withColumn("_len", F.when(F.col(SEG).isNull(), 0).otherwise(F.count(F.lit(1)).over(group)))
+    return d.withColumn("_lo", F.col("_lo") - 1).withColumn("_hi", F.col("_hi") - 1)
 
 
-def _shift_positive(df: DataFrame, message: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def _runs_across(df: DataFrame, message: str) -> DataFrame:
+    """J7 where a segment may reach over many blocks: ranks from a sort of the whole table, scanned in blocks."""
     said = with_group_rank(df.where(F.col(message).isNotNull()).select(CONV, SEG, TURN, message), [CONV, SEG], [F.col(message), F.col(TURN)], "_place")
     d = ordered_scan(said, [CONV, SEG], "_place", prev=[message], nxt=[message], totals={"_len": F.lit(1)}, prev_prefix="_p_", next_prefix="_n_")
     first = F.when(~F.col(message).eqNullSafe(F.col("_p_" + message)), F.col("_place"))
     final = F.when(~F.col(message).eqNullSafe(F.col("_n_" + message)), F.col("_place"))
-    d = ordered_scan(d, [CONV, SEG], "_place", last={"_lo": first}, coming={"_hi": final})
+    return ordered_scan(d, [CONV, SEG], "_place", last={"_lo": first}, coming={"_hi": final})
+
+
+def _shift_positive(df: DataFrame, message: str, inside: bool) -> tuple[DataFrame, list[str]]:
+    d = (_runs_inside if inside else _runs_across)(df, message)
     d = d.withColumn("_same", F.col("_hi") - F.col("_lo") + 1).withColumn("n_pairs", F.col("_len") - F.col("_same")).withColumn("_base", F.lit(0).cast("long"))
-    return d, d, [CONV, SEG]
+    return d, [CONV, SEG]
 
 
-def _shift_negative(df: DataFrame, message: str | None, shift: str = "topic_shift") -> tuple[DataFrame, DataFrame, list[str]]:
+def _shift_negative(df: DataFrame, message: str | None, shift: str = "topic_shift") -> tuple[DataFrame, list[str]]:
     base = keep(df, CONV, SEG, TURN, F.when(F.col(shift) == 1, 1).otherwise(0).alias("_s"), *([message] if message else []))
     d = ordered_scan(base, [CONV], TURN, sums={"_run": "_s"}, totals={"_tot": "_s"})
     d = d.withColumn("n_pairs", F.col("_tot") - F.col("_run")).withColumn("_base", F.col("_run"))
-    return d, d.where("_s = 1").withColumn("_place", F.col("_run") - 1), [CONV]
+    return d.withColumn("_place", F.when(F.col("_s") == 1, F.col("_run") - 1)), [CONV]
+
+
+def by_reach(df: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """``df`` with its block column, in parts: conversations inside one block (True), and the others (False).
+
+    The first need no rows but those of their block, which lie together.  Rows without a
+    conversation or a turn go with the others, as does all that no block row is found for.
+    """
+    d = df if BLOCK in df.columns else df.withColumn(BLOCK, block_of(df, TURN))
+    blocks = d.select(CONV, BLOCK).distinct()
+    many = F.count(F.lit(1)).over(Window.partitionBy(CONV)) > 1
+    blocks = blocks.select(CONV, BLOCK, (many | F.col(CONV).isNull() | F.col(BLOCK).isNull()).alias("_tw_far"))
+    if blocks.where("_tw_far").isEmpty():
+        return [(d, True)]
+    d = d.join(blocks, [CONV, BLOCK], "left").withColumn("_tw_far", F.coalesce("_tw_far", F.lit(True)))
+    return [(d.where(F.col("_tw_far") == far).drop("_tw_far"), not far) for far in (False, True)]
 
 
 def _finish(d: DataFrame, family: str) -> DataFrame:
@@ -130,7 +176,7 @@ def coherence_negative(df: DataFrame) -> DataFrame:
 
 def shift_positive(df: DataFrame, message: str = "message") -> DataFrame:
     """Per anchor, the other turns of its segment whose text differs from the anchor's."""
-    d = _shift_positive(df, message)[0].select(CONV, SEG, TURN, "n_pairs")
+    d = reduce(DataFrame.unionByName, [_shift_positive(d, message, inside)[0].select(CONV, SEG, TURN, "n_pairs") for d, inside in by_reach(df)])
     silent = df.where(F.col(message).isNull()).select(CONV, SEG, TURN, F.lit(0).cast("long").alias("n_pairs"))
     return _finish(d.unionByName(silent), "shift_positive")
 
@@ -148,17 +194,40 @@ def drawn_pairs(df: DataFrame, family: str, per_anchor: int, seed: int = 42, mes
     """
     made = {"coherence_positive": _coherence_positive, "coherence_negative": _coherence_negative,
             "shift_positive": _shift_positive, "shift_negative": _shift_negative}[family]
-    anchors, places, keys = made(df, message)
-    own = ["_lo", "_same"] if family == "shift_positive" else []
-    a = anchors.where("n_pairs > 0").select(CONV, SEG, TURN, F.col(message).alias("message1"), "n_pairs", "_base", *own,
-                                            F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_anchor).cast("long"), "n_pairs") - 1)).alias("draw"))
-    rank = permuted(F.col("draw"), F.col("n_pairs"), [F.lit(str(seed)), F.lit(family), F.col(CONV), F.col(SEG), F.col(TURN)])
-    a = a.withColumn("_place", F.col("_base") + rank)
-    if own:  # the run of the anchor's own message is left out of the ranks
-        a = a.withColumn("_place", F.when(F.col("_place") >= F.col("_lo"), F.col("_place") + F.col("_same")).otherwise(F.col("_place")))
-    b = places.select(*keys, "_place", F.col(TURN).alias("partner_turn_id"), F.col(message).alias("message2"))
-    return a.join(b, [*keys, "_place"]).select(CONV, SEG, TURN, "draw", "partner_turn_id", "message1", "message2",
-                                               F.lit(family).alias("family"), F.lit(LABELS[family]).alias("label"))
+    return reduce(DataFrame.unionByName, [
+        _fetched(*(made(d, message, inside) if family == "shift_positive" else made(d, message)), inside, family, per_anchor, seed, message)
+        for d, inside in by_reach(df)])
+
+
+def _fetched(d: DataFrame, keys: list[str], inside: bool, family: str, per_anchor: int, seed: int, message: str) -> DataFrame:
+    """The drawn partners of a family's table (``inside``: of conversations that lie in one block)."""
+    key = [F.lit(str(seed)), F.lit(family), F.col(CONV), F.col(SEG), F.col(TURN)]
+    # Without a partner there is no draw; elsewhere the hashes are made once an anchor, for all draws.
+    d = d.withColumn("_made", F.when(F.col("n_pairs") > 0, rounds_of(key)))
+
+    def place(i):
+        at = F.col("_base") + permuted(i, F.col("n_pairs"), key, made=F.col("_made"))
+        if family != "shift_positive":
+            return at
+        return F.when(at >= F.col("_lo"), at + F.col("_same")).otherwise(at)  # the run of the anchor's own message is left out of the ranks
+
+    draws = F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_anchor).cast("long"), F.col("n_pairs")) - 1)
+    asked = F.when(F.col("n_pairs") > 0, F.transform(draws, lambda i: F.struct(place(i).cast("long").alias("at"), i.alias("draw"))))
+    pair = [F.lit(family).alias("family"), F.lit(LABELS[family]).alias("label")]
+    if not inside:
+        a = d.where("n_pairs > 0").select(CONV, SEG, TURN, F.col(message).alias("message1"), F.inline(asked)).withColumnRenamed("at", "_place")
+        b = d.where(F.col("_place").isNotNull()).select(*keys, "_place", F.col(TURN).alias("partner_turn_id"), F.col(message).alias("message2"))
+        return a.join(b, [*keys, "_place"]).select(CONV, SEG, TURN, "draw", "partner_turn_id", "message1", "message2", *pair)
+    # A row stands at its own place (no draw) and at the places it asks for, where the row of the
+    # place comes first.  All that happens inside a block, so no message is moved.
+    own = F.array(F.struct(F.col("_place").cast("long").alias("at"), F.lit(None).cast("long").alias("draw")))
+    own = F.when(F.col("_place").isNotNull(), own).otherwise(F.slice(own, 1, 0))
+    rows = d.select(CONV, SEG, TURN, BLOCK, F.col(message).alias("message1"), F.inline(F.concat(own, F.coalesce(asked, F.slice(own, 1, 0)))))
+    there = Window.partitionBy(CONV, BLOCK, *keys[1:], "at").orderBy(F.col("draw").asc_nulls_first())
+    partner = F.first(F.when(F.col("draw").isNull(), F.struct(F.col(TURN).alias("t"), F.col("message1").alias("m")))) \
+        .over(there.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_with", partner).where(F.col("draw").isNotNull() & F.col("_with").isNotNull())
+    return rows.select(CONV, SEG, TURN, "draw", F.col("_with.t").alias("partner_turn_id"), "message1", F.col("_with.m").alias("message2"), *pair)
 
 
 def contrastive_pairs(df: DataFrame, kind: str, per_anchor: int, seed: int = 42, message: str = "message") -> DataFrame:
