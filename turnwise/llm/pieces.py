@@ -12,21 +12,15 @@ from __future__ import annotations
 import os
 import re
 from itertools import filterfalse, islice
+from operator import methodcaller
 
 import numpy as np
 
 from .common import slices
 
-_SPACE_BEFORE_SPACE = re.compile(r"\s ")
+_SPACE_BEFORE_SPACE = re.compile(r" (?<=\s )")
 _TAIL = ".,!?;:%$&*#|"
-
-
-class _Memo(dict):
-    """Known pieces; one batch's pieces beyond the limit are looked up in ``extra``."""
-    extra: dict = {}
-
-    def __missing__(self, key):
-        return self.extra[key]
+_stripped = methodcaller("rstrip", _TAIL)
 
 
 class PieceEncoder:
@@ -46,7 +40,7 @@ class PieceEncoder:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # Byte-level vocabularies write a leading space as this letter; word-end ones drop it.
         self.lead = " " if self.tok.get_vocab_size() and self.tok.token_to_id("Ġthe") is not None else ""
-        self.limit, self.memo, self.tails = limit, _Memo(), {}
+        self.limit, self.memo, self.tails = limit, {}, {}
         if self.lead:
             vocab = self.tok.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -71,41 +65,33 @@ class PieceEncoder:
                 out += [raw[a:b] for a, b in zip((at * 4).tolist(), ends)]
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        base, tail = [], []
-        for p in missing:
-            s = p.rstrip(_TAIL)
-            if s and len(s) < len(p) and s[-1].isalpha():
-                base.append(s)
-                tail.append(p[len(s):])
-            else:
-                base.append(p)
-                tail.append("")
-        new_tails = [t for t in set(tail) if t and t not in self.tails]
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Encode the distinct pieces of a batch that are not remembered; the result knows them all."""
+        tailed = {p: s for p, s in zip(missing, map(_stripped, missing)) if s is not p and s and s[-1].isalpha()}
+        whole = list(filterfalse(tailed.__contains__, missing)) if tailed else missing
+        tails = {p: p[len(s):] for p, s in tailed.items()}
+        new_tails = list(set(tails.values()).difference(self.tails))
         if new_tails:
             if len(self.tails) > 100_000:
                 self.tails.clear()
-                new_tails = [t for t in set(tail) if t]
+                new_tails = list(set(tails.values()))
             self.tails.update(zip(new_tails, self._library(new_tails)))
-        need = list(set(filterfalse(self.memo.__contains__, base)))
+        need = list({*whole, *filterfalse(self.memo.__contains__, tailed.values())})
         got = dict(zip(need, self._bases(need)))
         keep = len(self.memo) < self.limit
-        extra = {} if not keep else self.memo
         if keep:
             self.memo.update(got)
-        self.memo.extra = got if not keep else {}
-        for p, s, t in zip(missing, base, tail):
-            if t:
-                extra[p] = self.memo[s] + self.tails[t]
-        if not keep:
-            extra.update(got)
-            self.memo.extra = extra
+            got = self.memo
+        known = self.memo
+        for p, s in tailed.items():
+            got[p] = (got[s] if s in got else known[s]) + self.tails[tails[p]]
+        return got
 
     def rest(self, keep: int = 100_000) -> None:
         """Forget all but the first pieces learned (the frequent ones) when a task ends, so that
         idle workers stay small."""
         if len(self.memo) > keep:
-            self.memo = _Memo(islice(self.memo.items(), keep))
+            self.memo = dict(islice(self.memo.items(), keep))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -124,12 +110,11 @@ class PieceEncoder:
             known = self.memo.get
             found = [list(map(known, p)) for p in split]
             gaps = [[j for j, ids in enumerate(f) if ids is None] for f in found]
-            self._learn(list({p[j] for p, g in zip(split, gaps) for j in g}))
+            new = self._learn(list({p[j] for p, g in zip(split, gaps) for j in g}))
             for k, (i, p, f, g) in enumerate(zip(todo, split, found, gaps)):
                 for j in g:
-                    f[j] = self.memo[p[j]]
+                    f[j] = new[p[j]]
                 res[i] = firsts[k] + b"".join(f) if self.lead else b"".join(f)
-            self.memo.extra = {}
             out += res
         return out
 
