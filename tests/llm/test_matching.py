@@ -136,6 +136,26 @@ def test_fuzzy_lines(spark, docs, texts, odd, none):
     assert fuzzy_lines.dedup_lines(none).count() == 0
 
 
+def test_buckets_of_lines_are_moved_once(spark, texts, monkeypatch):
+    """Rows of the buckets (many a line) go through one exchange by bucket, not one to count and one to join."""
+    plans, write = {}, fuzzy_lines.stored
+    monkeypatch.setattr(fuzzy_lines, "stored", lambda df, name="llm": plans.setdefault(name, []).append(df._jdf.queryExecution().toString()) or write(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(texts[:40], "doc_id long, text string")
+        rows = fuzzy_lines.distinct_rows(docs, "doc_id", "text")
+        distinct = fuzzy_lines.stored(fuzzy_lines.line_signatures(rows).groupBy("k1", "k2").agg(
+            fuzzy_lines.F.min(fuzzy_lines.F.struct("id", "pos", "th")).alias("first")))
+        links = spark.createDataFrame([], "a struct<k1:bigint,k2:bigint>, b struct<k1:bigint,k2:bigint>")
+        fuzzy_lines.shingled_links(rows, distinct, links, 0.8, 200_000)
+        sigs = spark.range(50).selectExpr("id AS sig")
+        near = fuzzy_lines.near_heads(fuzzy_lines.in_buckets(sigs))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_key = [p.split("== Physical Plan ==")[1].count("Exchange hashpartitioning(key#") for n in ("mixed-buckets", "bucket-lines") for p in plans.get(n, [])]
+    assert by_key == [1, 1] and near.split("== Physical Plan ==")[1].count("Exchange hashpartitioning(key#") == 1
+
+
 def similar_pairs(keys):
     """All pairs of normalised lines with an edit similarity of at least 0.8, whatever their signatures."""
     size = np.array([len(k) for k in keys])
