@@ -30,6 +30,21 @@ def test_pieces_are_the_librarys_ids(path, texts):
             enc.rest(20)
 
 
+def test_line_ends_join_known_pieces():
+    """A line's last and the next line's first piece are remembered apart; texts of known ones need no library."""
+    enc, asked = PieceEncoder(BYTE), []
+    library_of = enc._library
+    enc._library = lambda texts: asked.extend(texts) or library_of(texts)
+    enc.encode(["one two.\nThree four"])
+    asked.clear()
+    text = "one four.\nThree two"
+    assert np.frombuffer(enc.encode([text])[0], np.uint32).tolist() == library(BYTE, text)
+    assert asked == ["one"]  # only the text's first piece, which has no space before it
+    odd = ["a.\n\nb c\n d", "a\u00a0\nb \nc", "x 's\n's y", "", "z", "z ", "q\n", "\nq r\ts\nt"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in enc.encode(odd)] == [library(BYTE, t) for t in odd]
+    assert enc.encode([]) == []
+
+
 def test_counts_and_cache(spark, odd, none, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):  # the second time everything is in the cache

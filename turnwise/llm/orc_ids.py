@@ -44,9 +44,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in batches:
-            for i in range(0, b.num_rows, 500):  # few texts and ids at a time are Python objects
-                j = min(i + 500, b.num_rows)
-                ids = [x + end for x in enc.encode(b.column("text").slice(i, 500).to_pylist())]
+            for i in range(0, b.num_rows, 2000):  # few texts and ids at a time are Python objects
+                j = min(i + 2000, b.num_rows)
+                ids = [x + end for x in enc.encode(b.column("text").slice(i, 2000).to_pylist())]
                 at = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", "part", "place")), lists],

@@ -51,8 +51,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
         enc = encoder(tokenizer_path)
         for b in batches:
             rows, texts, at = [], b.column("text"), b.column("doc_id").to_pylist()
-            for i in range(0, len(at), 500):  # few texts and ids at a time are Python objects
-                for doc, ids in zip(at[i:i + 500], enc.encode(texts.slice(i, 500).to_pylist())):
+            for i in range(0, len(at), 2000):  # few texts and ids at a time are Python objects
+                for doc, ids in zip(at[i:i + 2000], enc.encode(texts.slice(i, 2000).to_pylist())):
                     ids += end
                     for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc, k, s, n, crc_ids(ids[4 * s:4 * (s + n)])))
