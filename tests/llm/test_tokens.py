@@ -33,8 +33,9 @@ def test_pieces_are_the_librarys_ids(path, texts):
 def test_line_ends_join_known_pieces():
     """A line's last and the next line's first piece are remembered apart; texts of known ones need no library."""
     enc, asked = PieceEncoder(BYTE), []
-    library_of = enc._library
+    library_of, bases_of = enc._library, enc._bases
     enc._library = lambda texts: asked.extend(texts) or library_of(texts)
+    enc._bases = lambda words: asked.extend(words) or bases_of(words)
     enc.encode(["one two.\nThree four"])
     asked.clear()
     text = "one four.\nThree two"
