@@ -156,6 +156,49 @@ def test_buckets_of_lines_are_moved_once(spark, texts, monkeypatch):
     assert by_key == [1, 1] and near.split("== Physical Plan ==")[1].count("Exchange hashpartitioning(key#") == 1
 
 
+def test_sketches_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    letters = list("aabcdeé ñ中")
+    rows = []
+    for n in [*range(1, 12), *rng.integers(12, 200, 150).tolist()]:
+        x = rng.choice(letters, n).tolist()
+        y = list(x)
+        for _ in range(rng.integers(0, n // 5 + 2)):
+            i = int(rng.integers(0, len(y) + 1))
+            y[i:i + int(rng.integers(0, 2))] = rng.choice(letters, rng.integers(0, 2)).tolist()
+        other = rng.choice(letters, n).tolist()
+        rows += [("".join(x), "".join(y)), ("".join(y), "".join(x)), ("".join(x), "".join(other))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    F = fuzzy_lines.F
+    side = lambda c: F.struct(F.char_length(c).alias("len"), F.when(F.char_length(c) <= 128, fuzzy_lines.sketch(F.col(c))).alias("grams")).alias(c)
+    df = df.select(F.col("a").alias("s"), F.col("b").alias("t"), side("a"), side("b"))
+    got = df.withColumn("allowed", fuzzy_lines.sketches_allow("a", "b", 0.8)).collect()
+    similar = [distance(r["s"], r["t"]) <= int(0.2 * max(len(r["s"]), len(r["t"])) + 1e-9) for r in got]
+    assert sum(similar) > 150 and all(r["allowed"] for r, near in zip(got, similar) if near)
+    assert sum(not r["allowed"] for r in got) > 50
+
+
+def test_unlike_lines_of_a_bucket_make_no_rows(spark, monkeypatch):
+    """Lines that only share some word pairs: no row for each two of them, and similar ones are still found."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("bcdfghjklmnprstvwz"), rng.integers(4, 8)))
+    texts = [" ".join([word() for _ in range(5)] + ["over the old stone"]) for _ in range(150)]
+    texts += [t[1:] for t in texts[100:]]  # 50 with a letter less
+    sizes, write = [], fuzzy_lines.stored
+
+    def counted(df, name="llm"):
+        out = write(df, name)
+        if name == "shingle-candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = sorted(r["doc_id"] for r in fuzzy_lines.dedup_lines(docs, shingles=True).where("n_removed > 0").collect())
+    assert gone == list(range(150, 200))
+    assert sum(sizes) < 3 * len(texts)  # without sketches: thousands
+
+
 def similar_pairs(keys):
     """All pairs of normalised lines with an edit similarity of at least 0.8, whatever their signatures."""
     size = np.array([len(k) for k in keys])
