@@ -199,6 +199,43 @@ def test_unlike_lines_of_a_bucket_make_no_rows(spark, monkeypatch):
     assert sum(sizes) < 3 * len(texts)  # not a row for each two unlike lines
 
 
+def test_verification_leaves_out_shared_ends(spark):
+    """As the edit distance decides, with long shared beginnings and ends, which take no part in it."""
+    rng = np.random.default_rng(7)
+    some = lambda n: "".join(rng.choice(list("ab cé中"), n))
+    rows = [("", "", 0), ("", "a", 0), ("aa", "aaa", 1), ("aba", "a", 1), ("ab", "ba", 1)]
+    for n in [*range(30), *rng.integers(30, 200, 60).tolist()]:
+        x, shared = some(n), some(int(rng.choice([0, 3, 500, 2500])))
+        y = list(x)
+        for _ in range(rng.integers(0, 7)):
+            i = int(rng.integers(0, len(y) + 1))
+            y[i:i + int(rng.integers(0, 2))] = some(int(rng.integers(0, 2)))
+        y, most = "".join(y), int(rng.integers(0, 6))
+        rows += [(shared + x, shared + y, most), (x + shared, y + shared, most), (shared + x + shared, shared + y + shared, most)]
+    F = fuzzy_lines.F
+    df = spark.createDataFrame(rows, "a string, b string, most int")
+    got = df.select(fuzzy_lines.within(F.col("a"), F.col("b"), F.col("most")).alias("near"), F.expr("levenshtein(a, b, most) >= 0").alias("want")).collect()
+    assert [r["near"] for r in got] == [r["want"] for r in got] and {r["want"] for r in got} == {True, False}
+    passage = "the same long words " * 30
+    lines = spark.createDataFrame([("red ship" + passage, "red door" + passage), (passage + "red", passage + "reader")], "a string, b string")
+    rest = lines.select(fuzzy_lines.apart(F.col("a"), F.col("b")).alias("p")).select("p.*").collect()
+    assert sorted(map(tuple, rest)) == [("d", "ader"), ("ship", "door")]
+
+
+def test_known_pairs_go_after_each_pair_is_one_row(spark, texts, monkeypatch):
+    """Of pairs that share several buckets, the anti-join gets one row each: no distinct follows it."""
+    plans, write = [], fuzzy_lines.stored
+
+    def seen(df, name="llm"):
+        if name == "shingle-candidates":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(fuzzy_lines, "stored", seen)
+    fuzzy_lines.dedup_lines(spark.createDataFrame(texts[:40], "doc_id long, text string"), shingles=True)
+    assert ["LeftAnti" in p for p in plans] == [False, True] and "Aggregate" not in plans[1]
+
+
 def similar_pairs(keys):
     """All pairs of normalised lines with an edit similarity of at least 0.8, whatever their signatures."""
     size = np.array([len(k) for k in keys])
