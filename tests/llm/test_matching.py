@@ -236,6 +236,27 @@ def test_known_pairs_go_after_each_pair_is_one_row(spark, texts, monkeypatch):
     assert ["LeftAnti" in p for p in plans] == [False, True] and "Aggregate" not in plans[1]
 
 
+def test_words_edited_in_place_need_no_distance_of_the_line(spark, monkeypatch):
+    F = fuzzy_lines.F
+    passage = "the same long words " * 12
+    rows = [("red boat " + passage + "sails", "red boot " + passage + "sails", 2, True), (passage + "one two", "one " + passage[4:] + "one to", 4, True),
+            ("a  b", "a c b", 1, True), ("x", "y", 1, True), ("", "ab", 2, True), ("red " + passage, "blue " + passage, 3, False), (passage + "one", passage + "one more", 5, True)]
+    df = spark.createDataFrame(rows, "a string, b string, most int, want boolean")
+    near = lambda: fuzzy_lines.within(F.col("a"), F.col("b"), F.col("most")).alias("near")
+    assert [r["near"] for r in df.select(near()).collect()] == [r[3] for r in rows]
+    with monkeypatch.context() as m:
+        m.setattr(F, "call_function", lambda *_: F.raise_error(F.lit("distance of the line")).cast("int"))
+        assert all(r["near"] for r in df.where("want AND size(split(a, ' ')) = size(split(b, ' '))").select(near()).collect())
+
+
+def test_candidates_are_joined_once(spark, texts, monkeypatch):
+    """Verification reads its pairs three times: always from a written table, never through the anti-join."""
+    given, verify = [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda rows, distinct, pairs, *more: given.append(hasattr(pairs, "stored_at")) or verify(rows, distinct, pairs, *more))
+    fuzzy_lines.dedup_lines(spark.createDataFrame(texts[:40], "doc_id long, text string"), shingles=True)
+    assert given == [True] * 4
+
+
 def similar_pairs(keys):
     """All pairs of normalised lines with an edit similarity of at least 0.8, whatever their signatures."""
     size = np.array([len(k) for k in keys])
